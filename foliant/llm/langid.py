@@ -136,42 +136,58 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     return Model(langs, np.hstack([log_p, np.zeros((len(langs), 1))]).astype(np.float32), np.log(prior / prior.sum()))
 
 
+def classify(m: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """lang_pred and score of each text of a column."""
+    names, scores = np.full(len(column), "und", object), np.zeros(len(column))
+    for i, j, data, offsets in K.chunks(column):
+        code, at = points(data, offsets)
+        total, grams = np.zeros((len(m.langs), j - i)), np.zeros(j - i)
+        full = np.diff(at) > 0
+        if not full.any() or not m.langs:
+            continue
+        heads = at[:-1][full]
+        lit = np.zeros(j - i, bool)
+        lit[full] = np.maximum.reduceat(code != SPACE, heads)
+        for _, h, ok in buckets(code, at):
+            h = np.where(ok, h, np.uint32(1 << BITS))
+            cuts = heads[heads < len(h)]
+            own = np.flatnonzero(full)[: len(cuts)]
+            grams[own] += np.add.reduceat(ok.astype(np.int64), cuts)
+            for k in range(len(m.langs)):
+                total[k, own] += np.add.reduceat(m.log_p[k][h], cuts, dtype=np.float64)
+        z = m.prior[:, None] + total * np.minimum(1, 64 / np.maximum(grams, 1))
+        z -= z.max(0)
+        p = np.exp(z) / np.exp(z).sum(0)
+        best = p.argmax(0)
+        rows = np.flatnonzero(lit)
+        names[i + rows] = np.array(m.langs, object)[best[rows]]
+        scores[i + rows] = p[best[rows], rows]
+    return names, scores
+
+
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: its id, lang_pred and score (the posterior, evidence tempered to 64 n-grams)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def score(batches):
-        m = shared.value
         for b in batches:
-            names, scores = np.full(b.num_rows, "und", object), np.zeros(b.num_rows)
-            for i, j, data, offsets in K.chunks(b.column("text")):
-                code, at = points(data, offsets)
-                total, grams = np.zeros((len(m.langs), j - i)), np.zeros(j - i)
-                full = np.diff(at) > 0
-                if not full.any() or not m.langs:
-                    continue
-                heads = at[:-1][full]
-                lit = np.zeros(j - i, bool)
-                lit[full] = np.maximum.reduceat(code != SPACE, heads)
-                for _, h, ok in buckets(code, at):
-                    h = np.where(ok, h, np.uint32(1 << BITS))
-                    cuts = heads[heads < len(h)]
-                    own = np.flatnonzero(full)[: len(cuts)]
-                    grams[own] += np.add.reduceat(ok.astype(np.int64), cuts)
-                    for k in range(len(m.langs)):
-                        total[k, own] += np.add.reduceat(m.log_p[k][h], cuts, dtype=np.float64)
-                z = m.prior[:, None] + total * np.minimum(1, 64 / np.maximum(grams, 1))
-                z -= z.max(0)
-                p = np.exp(z) / np.exp(z).sum(0)
-                best = p.argmax(0)
-                rows = np.flatnonzero(lit)
-                names[i + rows] = np.array(m.langs, object)[best[rows]]
-                scores[i + rows] = p[best[rows], rows]
-            yield batch(schema, b.column("doc_id").cast(pa.int64()), names, scores)
-
-    return source.mapInArrow(score, "doc_id long, lang_pred string, score double")
+            yield batch(schema, b.column("doc_id"), *classify(shared.value, b.column("text")))
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(score, "doc_id long, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows, all their columns, whose text has a language: those that are `und` go."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def keep(batches):
+        for b in batches:
+            names, _ = classify(shared.value, b.column(at))
+            yield b.filter(pa.array(names != "und"))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def language_id(docs: DataFrame, model: Model | None = None) -> DataFrame:

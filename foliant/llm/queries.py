@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import lines
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,17 +26,54 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents")).withColumn("factors", F.size("factors"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import language_id
 
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_id", "_th")
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rindex import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import media_columns
 
     return media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op5_language_id, op9_media)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_components
+
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_substring_dedup, op4_line_dedup, op5_language_id, op6_decontamination, op7_suffix_dedup, op8_license_scan, op9_media, op10_ngram_join)}
+
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": lines.SQL}

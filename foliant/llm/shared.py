@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 400_000
 #: Bits of the sketch of repeated keys: 16 MB at every input size.
 SKETCH_BITS = 27
+LEVEL_BITS = 24
 LAST_ID = (1 << 63) - 1
 
 
@@ -39,40 +40,58 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     return [F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("_id"), F.xxhash64(F.col(text)).alias("_th")]
 
 
-def repeated_sketch(keys: DataFrame) -> np.ndarray:
-    """A bitmap in which the slot of each key that occurs at least twice is set.
-
-    `keys`: long `key`, and long `n`, how often it occurs there. Counting is a distributed
-    aggregate with map-side partial sums. The bitmap has SKETCH_BITS bits whatever the input;
-    each task makes its own stretch of it. Other keys may share a slot, so users of it must
-    treat a set bit as "perhaps"; a clear bit is certain.
-    """
-    slots, part = 1 << SKETCH_BITS, 1 << 17
-    few = keys.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select(F.shiftrightunsigned("key", 64 - SKETCH_BITS).alias("slot"))
+def _slots(few: DataFrame, bits: int, part: int, width: int):
+    """An array of 2**bits places from rows (slot, level): each task makes its own stretches of it.
+    What reaches the driver has that fixed size whatever the input."""
 
     def stretches(frames):
         import pandas as pd
 
         for pdf in frames:
             for base, own in pdf.groupby(pdf.slot // part):
-                bits = np.zeros(part, np.uint8)
-                bits[own.slot.to_numpy() % part] = 1
-                yield pd.DataFrame({"base": [base], "bits": [np.packbits(bits).tobytes()]})
-
-    # distinct slots of one stretch come sorted to one task, so that each stretch leaves it once or twice
-    rows = few.distinct().withColumn("base", F.expr(f"slot div {part}")).repartition("base").sortWithinPartitions("base", "slot").select("slot").mapInPandas(stretches, "base long, bits binary")
-    out = np.zeros(slots // 8, np.uint8)
-    for base, bits in rows.toLocalIterator():
-        own = out[base * part // 8 : (base + 1) * part // 8]
-        own |= np.frombuffer(bits, np.uint8)
+                x = np.zeros(part, np.uint8)
+                np.maximum.at(x, own.slot.to_numpy() % part, own.level.to_numpy().astype(np.uint8))
+                yield pd.DataFrame({"base": [base], "data": [(np.packbits(x > 0) if width == 1 else x).tobytes()]})
+
+    each = part * width // 8
+    rows = few.groupBy("slot").agg(F.max("level").alias("level")).repartition(F.expr(f"slot div {part}")).sortWithinPartitions("slot").mapInPandas(stretches, "base long, data binary")
+    out = np.zeros((1 << bits) * width // 8, np.uint8)
+    for base, data in rows.toLocalIterator():
+        own = out[base * each : (base + 1) * each]
+        np.copyto(own, np.frombuffer(data, np.uint8) | own if width == 1 else np.maximum(np.frombuffer(data, np.uint8), own))
     return out
 
 
+def _repeated(keys: DataFrame) -> DataFrame:
+    return keys.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+
+
+def repeated_sketch(keys: DataFrame) -> np.ndarray:
+    """A bitmap in which the slot of each key that occurs at least twice is set.
+
+    `keys`: long `key`, and long `n`, how often it occurs there. Counting is a distributed
+    aggregate with map-side partial sums. The bitmap has 2**SKETCH_BITS bits whatever the input.
+    Other keys may share a slot, so users must treat a set bit as "perhaps"; a clear bit is certain.
+    """
+    few = _repeated(keys).select(F.shiftrightunsigned("key", 64 - SKETCH_BITS).alias("slot"), F.lit(1).alias("level"))
+    return _slots(few, SKETCH_BITS, 1 << 17, 1)
+
+
 def in_sketch(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     slot = keys.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)
     return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (slot & np.uint64(7))).astype(np.uint8)) & 1 > 0
 
 
+def level_sketch(keys: DataFrame) -> np.ndarray:
+    """Like repeated_sketch, with a byte for each of 2**LEVEL_BITS slots: 0 if no repeated key is there, else it rises with the logarithm of the greatest count."""
+    level = F.least(F.lit(255), F.floor(F.log2("n") * 6)).cast("int")
+    return _slots(_repeated(keys).select(F.shiftrightunsigned("key", 64 - LEVEL_BITS).alias("slot"), level.alias("level")), LEVEL_BITS, 1 << 16, 8)
+
+
+def level_of(levels: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return levels[(keys.view(np.uint64) >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)]
+
+
 def join_keyed(big: DataFrame, keyed: DataFrame, on: list[str], how: str, rows: int | None = None) -> DataFrame:
     """Join with a side that was cut to a file: broadcast if its counted rows are within the bound, else shuffled."""
     n = keyed.count() if rows is None else rows
