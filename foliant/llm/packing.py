@@ -8,7 +8,7 @@ whole costs one pass. What is left at the end of the stream is cut into powers o
 is cheaper, as those sequences need no padding.
 
 Tokens: the public tokenizer never joins across white space, so each distinct stretch between
-blanks is encoded once per task and the ids are assembled in numpy.
+blanks is encoded once per worker and the ids are assembled in numpy.
 
 Defined results: null text is empty text; an empty document is its end id alone. Repeated rows
 are packed each. An empty table gives no rows. A document longer than a window spans several.
@@ -17,6 +17,8 @@ Extra columns are ignored. Sequences never leave a task, so a lost executor repe
 
 from __future__ import annotations
 
+import itertools
+import os
 import zlib
 from collections import deque
 
@@ -41,31 +43,66 @@ STOPS = np.zeros(256, bool)
 STOPS[[ord("."), ord("!"), ord("?")]] = True
 
 
+class Words:
+    """Ids by hash of a stretch, ascending by hash."""
+
+    def __init__(self):
+        self.keys, self.start, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.flat = np.zeros(0, np.uint16)
+
+    def add(self, keys: np.ndarray, start: np.ndarray, length: np.ndarray, flat: np.ndarray) -> None:
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.start = np.insert(self.start, at, (start + len(self.flat)).astype(np.int32))
+        self.length = np.insert(self.length, at, length.astype(np.int32))
+        self.flat = np.concatenate([self.flat, flat])
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        return at, self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
 class Encoder:
-    """Ids of whole texts; remembers the ids of each stretch between blanks, up to a bound, after which it starts afresh."""
+    """Ids of whole texts. It remembers the ids of each stretch between blanks, up to BOUND stretches, after which it starts afresh; one is kept per Python worker."""
 
-    BOUND = 400_000
+    BOUND, RECENT, SLICE = 1_500_000, 100_000, 4096
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
+        self.old, self.recent = Words(), Words()
+        self.ids = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
 
-    def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.start, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    @staticmethod
+    def of(path: str) -> Encoder:
+        if path not in _encoders:
+            _encoders[path] = Encoder(path)
+        return _encoders[path]
 
     def learn(self, hashes: np.ndarray, stretches: list[str]) -> None:
-        if len(self.keys) + len(hashes) > self.BOUND:
-            self.clear()
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False)]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        at = len(self.flat) + np.cumsum(n) - n
-        self.flat = np.concatenate([self.flat, np.fromiter((x for y in ids for x in y), np.uint32, int(n.sum()))])
-        keys, start, length = np.concatenate([self.keys, hashes]), np.concatenate([self.start, at]), np.concatenate([self.length, n])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.start, self.length = keys[order], start[order], length[order]
+        if len(self.recent.keys) > self.RECENT:
+            if len(self.old.keys) + len(self.recent.keys) > self.BOUND:
+                self.old = Words()
+            x = self.recent
+            self.old.add(x.keys, x.start, x.length, x.flat)
+            self.recent = Words()
+        for i in range(0, len(stretches), self.SLICE):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(stretches[i : i + self.SLICE], add_special_tokens=False)]
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.recent.add(hashes[i : i + self.SLICE], np.cumsum(n) - n, n, np.fromiter(itertools.chain.from_iterable(ids), self.ids, int(n.sum())))
+
+    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and length of each key's ids in the old ones followed by the recent ones; which keys are unknown."""
+        (a, old), (b, new) = self.old.find(keys), self.recent.find(keys)
+        start, length = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        start[old], length[old] = self.old.start[a[old]], self.old.length[a[old]]
+        start[new], length[new] = self.recent.start[b[new]] + len(self.old.flat), self.recent.length[b[new]]
+        return start, length, ~(old | new)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all rows with END_ID after each, the rows' offsets in them, and places after which a sentence ends."""
@@ -81,23 +118,25 @@ class Encoder:
         h = K.word_hashes(data, a, b)
         rows = np.searchsorted(a, offsets)
         u, where, back = np.unique(h, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, u)
-        new = np.ones(len(u), bool) if not len(self.keys) else self.keys[np.minimum(at, len(self.keys) - 1)] != u
+        start, length, new = self.look_up(u)
         if new.any():
-            if len(self.keys) + new.sum() > self.BOUND:
-                self.clear()
-                new[:] = True
             raw = data.tobytes()
             self.learn(u[new], [raw[a[i] : b[i]].decode("utf-8", "replace") for i in where[new]])
-            at = np.searchsorted(self.keys, u)
-        start, length = self.start[at][back], self.length[at][back]
+            start, length, new = self.look_up(u)
+            if new.any():  # room was made for the new ones
+                self.learn(u[new], [raw[a[i] : b[i]].decode("utf-8", "replace") for i in where[new]])
+                start, length, _ = self.look_up(u)
+        start, length = start[back], length[back]
         ends = np.cumsum(length)
         # ids of stretch i begin at ends[i] - length[i], moved by one for each document end before it
         row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
         total = int(ends[-1]) if len(ends) else 0
         source = np.repeat(start - (ends - length), length) + np.arange(total)
         out = np.full(total + len(rows) - 1, END_ID, np.uint32)
-        out[np.arange(total) + np.repeat(row, length)] = self.flat[source]
+        of_old = source < len(self.old.flat)
+        ids = np.empty(total, np.uint32)
+        ids[of_old], ids[~of_old] = self.old.flat[source[of_old]], self.recent.flat[source[~of_old] - len(self.old.flat)]
+        out[np.arange(total) + np.repeat(row, length)] = ids
         bounds = np.concatenate([[0], ends])[rows] + np.arange(len(rows))
         stop = STOPS[data[b - 1]] if len(b) else np.zeros(0, bool)
         newline = np.zeros(len(b), bool)
@@ -162,7 +201,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     def run(batches):
         from pyspark import TaskContext
 
-        encode = Encoder(tokenizer)
+        encode = Encoder.of(tokenizer)
         sequence = TaskContext.get().partitionId() << 40
         held: list[tuple] = []
         size = 0
@@ -188,7 +227,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
             held.clear()
 
         for b in batches:
-            for i, j, data, offsets in K.chunks(b.column("text"), 1 << 20):
+            for i, j, data, offsets in K.chunks(b.column("text"), 1 << 19):
                 held.append((b.column("doc_id").slice(i, j - i).cast(pa.int64()), *encode(data, offsets)))
                 size += len(held[-1][1])
                 if size >= STREAM:
