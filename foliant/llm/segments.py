@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import BROADCAST_ROWS, LAST_ID, batch, cut, in_sketch, join_keyed, repeated_sketch
+from .shared import LAST_ID, batch, cut, in_sketch, repeated_sketch
 
 #: data, offsets -> (prefix sums over symbols, the rows' offsets in symbols)
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[K.Prefix, np.ndarray]]
@@ -79,13 +79,11 @@ def find_classes(source: DataFrame, symbols: Symbols, length: int, k: int) -> Cl
     return Classes(found, classes, shared)
 
 
-def by_document(spans: DataFrame, value: str) -> tuple[DataFrame, int]:
-    """One row per document with its structs `value` as an array, cut; and what a broadcast of it would weigh, in rows."""
-    rows = cut(spans.groupBy("id", "th").agg(F.collect_list(value).alias(value)))
-    weigh = rows.agg(F.coalesce(F.sum(F.size(value)), F.lit(0)).alias("n"), F.count("*").alias("k")).first()
-    return rows, weigh.n + weigh.k
+def by_document(spans: DataFrame, value: str) -> DataFrame:
+    """One row per document with its structs `value` as an array, cut."""
+    return cut(spans.groupBy("id", "th").agg(F.collect_list(value).alias(value)))
 
 
-def beside(source: DataFrame, rows: DataFrame, weight: int, how: str) -> DataFrame:
-    """Bring per-document arrays to the texts: broadcast within the bound, else shuffled on the row key."""
-    return join_keyed(source, rows, ["id", "th"], how, rows=weight if weight <= BROADCAST_ROWS else BROADCAST_ROWS + 1)
+def beside(source: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Bring per-document arrays to the texts, on the row key. Always by a shuffle: the arrays grow with the corpus, and so the plan is the same at every size."""
+    return source.join(rows.hint("merge"), ["id", "th"], how)

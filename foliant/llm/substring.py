@@ -63,7 +63,7 @@ def phrases(source: DataFrame, window: int, anchor: int) -> DataFrame:
     whole = cut(classes.where("k > 1").select("anchor", "sig", "first"))
     full = join_keyed(runs, whole, ["anchor", "sig"], "inner").select("id", "th", F.struct("s0", "n", F.col("first.id").alias("ref"), F.col("first.s0").alias("ref_s0")).alias("phrase"))
     single = join_keyed(classes, shared, ["anchor"], "left_semi").select("first.id", "first.th", F.struct("first.s0", "n", (F.col("k") == 1).alias("single")).alias("segment"))
-    rows, weight = by_document(single, "segment")
+    rows = by_document(single, "segment")
     out = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("single", pa.bool_()), ("k1", pa.int64()), ("k2", pa.int64())])
 
     def windows(batches):
@@ -86,7 +86,7 @@ def phrases(source: DataFrame, window: int, anchor: int) -> DataFrame:
                 a = at[rows - i] + pos
                 yield batch(out, ids[rows], ths[rows], pos.astype(np.int32), pa.array(np.repeat(one[x], total)), K.signed(K.mix(p.span(a, a + window))), K.signed(K.mix(q.span(a, a + window))))
 
-    seen = cut(beside(source, rows, weight, "inner").select("id", "th", "text", "segment").mapInArrow(windows, "id long, th long, pos int, single boolean, k1 long, k2 long"))
+    seen = cut(beside(source, rows, "inner").select("id", "th", "text", "segment").mapInArrow(windows, "id long, th long, pos int, single boolean, k1 long, k2 long"))
     index = cut(seen.groupBy("k1", "k2").agg(F.min(F.struct("id", "pos")).alias("ref"), F.count("*").alias("k")).where("k > 1").select("k1", "k2", "ref"))
     hits = join_keyed(seen.where("single"), index, ["k1", "k2"], "inner").select("id", "th", F.struct(F.col("pos").alias("s0"), F.lit(1).alias("n"), F.col("ref.id").alias("ref"), F.col("ref.pos").alias("ref_s0")).alias("phrase"))
     return full.union(hits)
@@ -95,7 +95,7 @@ def phrases(source: DataFrame, window: int, anchor: int) -> DataFrame:
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, factors (start, words, ref, ref_start), and on request the kept text."""
     source = keyed(docs, doc_id, text)
-    rows, weight = by_document(phrases(source, window, anchor), "phrase")
+    rows = by_document(phrases(source, window, anchor), "phrase")
     factor = pa.struct([("start", pa.int32()), ("words", pa.int32()), ("ref", pa.int64()), ("ref_start", pa.int32())])
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("factors", pa.list_(factor)), ("text", pa.string())])
 
@@ -126,6 +126,6 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 lists = pa.array([[dict(zip(("start", "words", "ref", "ref_start"), f, strict=True)) for f in x] for x in factors], pa.list_(factor))
                 yield batch(out, b.column("doc_id").slice(i, j - i), np.diff(at), removed, [hashlib.sha256(x).hexdigest() for x in texts], lists, [x.decode() for x in texts] if with_text else pa.nulls(j - i, pa.string()))
 
-    joined = beside(source, rows, weight, "left").select(F.when(F.col("id") != LAST_ID, F.col("id")).alias("doc_id"), "text", "phrase")
+    joined = beside(source, rows, "left").select(F.when(F.col("id") != LAST_ID, F.col("id")).alias("doc_id"), "text", "phrase")
     done = joined.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start:int,words:int,ref:long,ref_start:int>>, text string")
     return done if with_text else done.drop("text")
