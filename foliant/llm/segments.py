@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import LAST_ID, batch, cut, in_sketch, repeated_sketch
+from .shared import LAST_ID, batch, cut, in_sketch, repeated_keys, sketch
 
-#: data, offsets -> (prefix sums over symbols, the rows' offsets in symbols)
-Symbols = Callable[[np.ndarray, np.ndarray], tuple[K.Prefix, np.ndarray]]
+#: data, offsets -> (symbols, the rows' offsets in them)
+Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: Runs of one anchor from which it counts as crowded.
+CROWD = 1000
 
 RUNS = "id long, th long, s0 int, n int, anchor long, sig long"
 
@@ -38,10 +40,11 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
 
 
-def find_classes(source: DataFrame, symbols: Symbols, length: int, k: int) -> Classes:
+def _count(source: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """key and n of the hashes that `of` finds in the texts, summed up in each task."""
     keys = pa.schema([("key", pa.int64()), ("n", pa.int64())])
 
-    def anchors(batches):
+    def run(batches):
         held, size = [], 0
 
         def out():
@@ -52,28 +55,60 @@ def find_classes(source: DataFrame, symbols: Symbols, length: int, k: int) -> Cl
 
         for b in batches:
             for _, _, data, offsets in K.chunks(b.column("text")):
-                held.append(K.anchored_runs(*symbols(data, offsets), length, k)[3])
+                held.append(of(data, offsets))
                 size += len(held[-1])
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield from out()
                     size = 0
         if held:
             yield from out()
 
-    sketch = source.sparkSession.sparkContext.broadcast(repeated_sketch(source.select("text").mapInArrow(anchors, "key long, n long")))
-    runs = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("s0", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("sig", pa.int64())])
+    return source.select("text").mapInArrow(run, "key long, n long")
 
-    def repeated(batches):
+
+def _again(symbols: np.ndarray, offsets: np.ndarray, runs: tuple, chosen: np.ndarray, length: int, k: int) -> tuple:
+    """The chosen runs cut anew by a longer anchor: row, s0, n, anchor, sig."""
+    row, s0, n = (x[chosen] for x in runs[:3])
+    size = n + length - 1
+    at = np.concatenate([[0], np.cumsum(size)])
+    own = symbols[np.repeat(offsets[row] + s0 - at[:-1], size) + np.arange(at[-1])]
+    sub, first, k_, anchor, sig = K.anchored_runs(K.Prefix(own), at, length, k)
+    return row[sub], s0[sub] + first, k_, anchor, sig
+
+
+def find_classes(source: DataFrame, symbols: Symbols, length: int, k: int, long_k: int, crowd: int = CROWD) -> Classes:
+    """An anchor that more than `crowd` runs share, such as a common line in ever other surroundings, is crowded: its runs are cut anew by a
+    longer anchor, and of those again only repeated ones are kept. So no later group is as large as the crowd, save of equal contents, which are one class."""
+    broadcast = source.sparkSession.sparkContext.broadcast
+    few = cut(repeated_keys(_count(source, lambda data, offsets: K.anchored_runs(K.Prefix((s := symbols(data, offsets))[0]), s[1], length, k)[3])))
+    repeated, crowded = broadcast(sketch(few.select("key"))), broadcast(sketch(few.where(F.col("n") > crowd).select("key")))
+
+    def crowded_anchors(data, offsets):
+        own, at = symbols(data, offsets)
+        runs = K.anchored_runs(K.Prefix(own), at, length, k)
+        return _again(own, at, runs, in_sketch(crowded.value, runs[3]), length, long_k)[3]
+
+    far = broadcast(sketch(repeated_keys(_count(source, crowded_anchors)).select("key")) if crowded.value.any() else np.zeros_like(crowded.value))
+    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("s0", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("sig", pa.int64())])
+
+    def find(batches):
         for b in batches:
             ids, ths = b.column("id").to_numpy(), b.column("th").to_numpy()
             for i, _, data, offsets in K.chunks(b.column("text")):
-                row, s0, n, anchor, sig = K.anchored_runs(*symbols(data, offsets), length, k)
-                ok = in_sketch(sketch.value, anchor)
-                row = i + row[ok]
+                own, at = symbols(data, offsets)
+                runs = K.anchored_runs(K.Prefix(own), at, length, k)
+                many = in_sketch(crowded.value, runs[3])
+                ok = in_sketch(repeated.value, runs[3]) & ~many
+                parts = [tuple(x[ok] for x in runs)]
+                if many.any():
+                    parts.append(_again(own, at, runs, many, length, long_k))
+                    parts[1] = tuple(x[in_sketch(far.value, parts[1][3])] for x in parts[1])
+                row, s0, n, anchor, sig = (np.concatenate(x) for x in zip(*parts, strict=True))
                 if len(row):
-                    yield batch(runs, ids[row], ths[row], s0[ok].astype(np.int32), n[ok].astype(np.int32), K.signed(anchor[ok]), K.signed(sig[ok]))
+                    row = row + i
+                    yield batch(schema, ids[row], ths[row], s0.astype(np.int32), n.astype(np.int32), K.signed(anchor), K.signed(sig))
 
-    found = cut(source.mapInArrow(repeated, RUNS))
+    found = cut(source.mapInArrow(find, RUNS))
     classes = cut(found.groupBy("anchor", "sig").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.min(F.struct("id", "th", "s0")).alias("first")))
     shared = cut(classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1"))
     return Classes(found, classes, shared)

@@ -62,19 +62,17 @@ def _slots(few: DataFrame, bits: int, part: int, width: int):
     return out
 
 
-def _repeated(keys: DataFrame) -> DataFrame:
+def repeated_keys(keys: DataFrame) -> DataFrame:
+    """key and n of keys that occur at least twice; `keys` holds long `key` and long `n`, how often it occurs there. A distributed aggregate with map-side partial sums."""
     return keys.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
 
 
-def repeated_sketch(keys: DataFrame) -> np.ndarray:
-    """A bitmap in which the slot of each key that occurs at least twice is set.
+def sketch(keys: DataFrame) -> np.ndarray:
+    """A bitmap of 2**SKETCH_BITS bits, whatever the input, in which the slot of each key is set.
 
-    `keys`: long `key`, and long `n`, how often it occurs there. Counting is a distributed
-    aggregate with map-side partial sums. The bitmap has 2**SKETCH_BITS bits whatever the input.
     Other keys may share a slot, so users must treat a set bit as "perhaps"; a clear bit is certain.
     """
-    few = _repeated(keys).select(F.shiftrightunsigned("key", 64 - SKETCH_BITS).alias("slot"), F.lit(1).alias("level"))
-    return _slots(few, SKETCH_BITS, 1 << 17, 1)
+    return _slots(keys.select(F.shiftrightunsigned("key", 64 - SKETCH_BITS).alias("slot"), F.lit(1).alias("level")), SKETCH_BITS, 1 << 17, 1)
 
 
 def in_sketch(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -83,9 +81,9 @@ def in_sketch(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def level_sketch(keys: DataFrame) -> np.ndarray:
-    """Like repeated_sketch, with a byte for each of 2**LEVEL_BITS slots: 0 if no repeated key is there, else it rises with the logarithm of the greatest count."""
+    """Like a sketch of the repeated keys, with a byte for each of 2**LEVEL_BITS slots: 0 if no repeated key is there, else it rises with the logarithm of the greatest count."""
     level = F.least(F.lit(255), F.floor(F.log2("n") * 6)).cast("int")
-    return _slots(_repeated(keys).select(F.shiftrightunsigned("key", 64 - LEVEL_BITS).alias("slot"), level.alias("level")), LEVEL_BITS, 1 << 16, 8)
+    return _slots(repeated_keys(keys).select(F.shiftrightunsigned("key", 64 - LEVEL_BITS).alias("slot"), level.alias("level")), LEVEL_BITS, 1 << 16, 8)
 
 
 def level_of(levels: np.ndarray, keys: np.ndarray) -> np.ndarray:
