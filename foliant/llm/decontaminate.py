@@ -7,8 +7,8 @@ holds CONTAINMENT of an item's distinct windows is a candidate; then slots are c
 item and document, each slot value of the item must stand for one value in the document and the
 other way round. Windows whose slots disagree don't count towards the containment.
 
-Defined results: null or empty texts match nothing. Items of fewer than five words are one
-window of all their words. Windows with fewer than LITERALS plain words are left out, unless the
+Defined results: null or empty texts match nothing. Items of fewer than five words have no
+window and match nothing. Windows with fewer than LITERALS plain words are left out, unless the
 item has no others. Repeated benchmark rows count as one item each; rows equal in id and text
 count as one document. Null ids are kept: they match as any other. Extra columns are ignored.
 """
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, LAST_ID, cut, join_keyed
+from .shared import LAST_ID, cut, join_keyed, packed_rows
 
 WORDS = 5
 CONTAINMENT = 0.8
@@ -97,5 +97,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, all their columns, that hold no benchmark item."""
     hit = cut(contaminated(docs, benchmark, doc_id, text).select("_id", "_th").distinct())
-    own = docs.withColumns({"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)), "_th": F.xxhash64(F.col(text))})
-    return join_keyed(own, hit, ["_id", "_th"], "left_anti").select(*docs.columns)
+    return join_keyed(packed_rows(docs, doc_id, text), hit, ["_id", "_th"], "left_anti").select("r.*")

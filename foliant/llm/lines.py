@@ -7,7 +7,7 @@ occurrence (least id, then position) go, and the covered positions are merged to
 Defined results: null text has no lines and stays null; "" is one empty line. Documents under
 three lines keep all. Windows of three blank lines are never duplicates. Rows equal in id and
 text count as one document. Rows equal in id alone rank by a hash of their text; a null id ranks
-last. Extra columns are kept.
+last. Extra columns are kept; ones named n_lines or n_removed are replaced.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, LAST_ID, cut, join_keyed
+from .shared import BROADCAST_ROWS, LAST_ID, cut, join_keyed, packed_rows
 
 LINES = 3
 
@@ -38,13 +38,13 @@ def removed_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lines: int = LINES) -> DataFrame:
     """The input's rows and columns with the kept text, and n_lines, n_removed."""
     spans, weight = removed_spans(docs, doc_id, text, lines)
-    own = docs.withColumns({"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)), "_th": F.xxhash64(F.col(text))})
-    joined = join_keyed(own, spans, ["_id", "_th"], "left", rows=weight if weight <= BROADCAST_ROWS else BROADCAST_ROWS + 1)
-    ls = F.split(F.col(text), "\n")
+    joined = join_keyed(packed_rows(docs, doc_id, text), spans, ["_id", "_th"], "left", rows=weight if weight <= BROADCAST_ROWS else BROADCAST_ROWS + 1)
+    ls = F.split(F.col("r")[text], "\n")
     gone = F.coalesce(F.aggregate("spans", F.lit(0), lambda n, s: n + s.b - s.a), F.lit(0))
     kept = F.array_join(F.filter(ls, lambda x, i: ~F.exists("spans", lambda s: (i >= s.a) & (i < s.b))), "\n")
-    out = joined.withColumns({"_kept": F.when(F.col("spans").isNull(), F.col(text)).otherwise(kept), "n_lines": F.coalesce(F.size(ls), F.lit(0)).cast("long"), "n_removed": gone.cast("long")})
-    return out.drop("_id", "_th", "spans", text).withColumnRenamed("_kept", text).select(*docs.columns, "n_lines", "n_removed")
+    own = F.when(F.col("spans").isNull(), F.col("r")[text]).otherwise(kept)
+    counts = {"n_lines": F.coalesce(F.size(ls), F.lit(0)), "n_removed": gone}
+    return joined.select(*[own.alias(c) if c == text else F.col("r")[c].alias(c) for c in docs.columns if c not in counts], *[c.cast("long").alias(n) for n, c in counts.items()])
 
 
 #: The same rows in DuckDB's SQL: doc_id, n_lines, n_removed, kept_md5.

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import LAST_ID, batch, components, cut, join_keyed, level_sketch, level_of
+from .shared import LAST_ID, batch, components, cut, join_keyed, level_of, level_sketch, packed_rows
 
 WORDS = 4
 SIMILARITY = (85, 100)
@@ -170,11 +170,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     every = cut(grouped(docs, doc_id, text, words, similarity).select("id", "th", "group"))
     several = cut(every.groupBy("group").agg(F.min(F.struct("id", "th")).alias("first"), F.max(F.struct("id", "th")).alias("last")).where("first <> last").select("group", "first"))
     gone = cut(join_keyed(every, several, ["group"], "inner").where("struct(id, th) <> first").select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct())
-    own = docs.withColumns({"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)), "_th": F.xxhash64(F.col(text))})
-    kept = join_keyed(own, gone, ["_id", "_th"], "left_anti")
+    kept = join_keyed(packed_rows(docs, doc_id, text), gone, ["_id", "_th"], "left_anti")
     if not every.groupBy("id", "th").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["_id", "_th"])
-    return kept.select(*docs.columns)
+    return kept.select("r.*")
 
 
 def grouped(docs: DataFrame, doc_id: str, text: str, words: int, similarity: tuple[int, int]) -> DataFrame:

@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a keyed side may be broadcast; a fixed bound, checked by a count.
@@ -35,9 +35,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
-    """Two columns that identify a row: its id (null ranks last) and a hash of its text. Rows equal in both are the same document."""
-    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("_id"), F.xxhash64(F.col(text)).alias("_th")]
+def packed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """r: the whole row as a struct, whatever its columns are called; _id (null ranks last) and _th (a hash of the text), which rows that are the same document share."""
+    return docs.select(F.struct("*").alias("r"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("_id"), F.xxhash64(F.col(text)).alias("_th"))
 
 
 def _slots(few: DataFrame, bits: int, part: int, width: int):
