@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import batch
+from .shared import batch, lean
 
 #: Labelled rows that training may read, in expectation (a documented bound of the operator).
 TRAIN_ROWS = 20_000
@@ -123,7 +123,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
             some = np.flatnonzero(v)
             yield batch(schema, [x] * (len(some) + 1), np.append(some, -1).astype(np.int32), np.append(v[some], 0), np.append(0 * some, seen[x]))
 
-    pdf = sample.mapInArrow(count, "lang string, bucket int, n long, docs long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).toPandas()
+    pdf = sample.mapInArrow(lean(count), "lang string, bucket int, n long, docs long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).toPandas()
     langs = sorted(pdf.lang.unique())
     counts = np.zeros((len(langs), 1 << BITS))
     prior = np.ones(len(langs))
@@ -174,7 +174,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
         for b in batches:
             yield batch(schema, b.column("doc_id"), *classify(shared.value, b.column("text")))
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(score, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(score), "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -187,7 +187,7 @@ def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFr
             names, _ = classify(shared.value, b.column(at))
             yield b.filter(pa.array(names != "und"))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
 
 
 def language_id(docs: DataFrame, model: Model | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import batch
+from .shared import batch, lean
 
 WORDS = 5
 CONTAINMENT = 0.8
@@ -159,4 +159,4 @@ def license_scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None =
             if rows:
                 yield batch(out, *zip(*rows, strict=True))
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(scan, "doc_id long, license string, start_word long, n_words long, containment double")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(scan), "doc_id long, license string, start_word long, n_words long, containment double")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import batch
+from .shared import batch, lean
 
 BLOCK = 576
 PAD = 255
@@ -234,7 +234,7 @@ def to_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                 rows = [store(pad(data[x:y].tobytes())) for x, y in zip(at[:-1], at[1:], strict=True)]
                 yield batch(SCHEMA, b.column("doc_id").slice(i, j - i).cast(pa.int64()), [x for x, _ in rows], [x for _, x in rows])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(write, "doc_id long, media binary, declared string")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(write), "doc_id long, media binary, declared string")
 
 
 def inspect(media: DataFrame) -> DataFrame:
@@ -259,7 +259,7 @@ def inspect(media: DataFrame) -> DataFrame:
                 rows.append((n, len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-TAIL:]), len(m), hashlib.sha256(m).hexdigest(), kind, kind != declared, len(inner), feature))
             yield batch(out, b.column("doc_id"), *(list(zip(*rows, strict=True)) if rows else [[]] * 10))
 
-    return media.mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, media_type string, corrected boolean, carved long, feature string")
+    return media.mapInArrow(lean(read), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, media_type string, corrected boolean, carved long, feature string")
 
 
 def media_columns(docs: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import LAST_ID, batch, components, cut, join_keyed, level_of, level_sketch, packed_rows
+from .shared import LAST_ID, batch, components, cut, join_keyed, lean, level_of, level_sketch, packed_rows
 
 WORDS = 4
 SIMILARITY = (85, 100)
@@ -202,7 +202,7 @@ def grouped(docs: DataFrame, doc_id: str, text: str, words: int, similarity: tup
         if held:
             yield from out()
 
-    levels = spark.sparkContext.broadcast(level_sketch(source.select("text").mapInArrow(count, "key long, n long")))
+    levels = spark.sparkContext.broadcast(level_sketch(source.select("text").mapInArrow(lean(count), "key long, n long")))
     sets = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("grams", pa.binary())])
 
     def settle(batches):
@@ -218,7 +218,7 @@ def grouped(docs: DataFrame, doc_id: str, text: str, words: int, similarity: tup
                 c1, c2 = (K.signed(K.mix(s[at[1:]] - s[at[:-1]] + n.astype(np.uint64))) for s in (s1, s2))
                 yield batch(sets, b.column("id").slice(i, j - i), b.column("th").slice(i, j - i), n, pa.array(c1, mask=~open_), pa.array(c2, mask=~open_), [g[x:y].tobytes() if o else None for x, y, o in zip(at[:-1], at[1:], open_, strict=True)])
 
-    every = cut(source.mapInArrow(settle, "id long, th long, n long, c1 long, c2 long, grams binary"))
+    every = cut(source.mapInArrow(lean(settle), "id long, th long, n long, c1 long, c2 long, grams binary"))
     reps = cut(every.where("grams is not null").groupBy("c1", "c2").agg(F.min("id").alias("id"), F.first("grams").alias("grams")))
     tokens = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("c1", pa.int64())])
 
@@ -230,7 +230,7 @@ def grouped(docs: DataFrame, doc_id: str, text: str, words: int, similarity: tup
             if sum(n):
                 yield batch(tokens, K.signed(np.concatenate(own)), np.repeat(ids, n), np.repeat(cs, n))
 
-    listed = cut(reps.select("id", "c1", "grams").mapInArrow(prefixes, "token long, id long, c1 long"))
+    listed = cut(reps.select("id", "c1", "grams").mapInArrow(lean(prefixes), "token long, id long, c1 long"))
     me = F.struct("id", "c1")
     heads = cut(listed.groupBy("token").agg(F.min(me).alias("head"), F.count("*").alias("k")).where("k > 1").select("token", "head"))
     members = cut(join_keyed(listed, heads, ["token"], "inner").select("head", "id", "c1").distinct())
@@ -265,7 +265,7 @@ def grouped(docs: DataFrame, doc_id: str, text: str, words: int, similarity: tup
         if out:
             yield batch(pairs, *zip(*out, strict=True))
 
-    links = filled.mapInArrow(search, "a_id long, a_c long, b_id long, b_c long").select(F.struct(F.col("a_id").alias("id"), F.col("a_c").alias("c1")).alias("a"), F.struct(F.col("b_id").alias("id"), F.col("b_c").alias("c1")).alias("b"))
+    links = filled.mapInArrow(lean(search), "a_id long, a_c long, b_id long, b_c long").select(F.struct(F.col("a_id").alias("id"), F.col("a_c").alias("c1")).alias("a"), F.struct(F.col("b_id").alias("id"), F.col("b_c").alias("c1")).alias("b"))
     found = components(links)
     classes = cut(reps.select("c1", "c2", me.alias("node")).join(found, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("group")))
     out = join_keyed(every.select("id", "th", "n", "c1", "c2"), classes, ["c1", "c2"], "left")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import batch
+from .shared import batch, lean
 
 WINDOW = 2048
 END_ID = 1
@@ -68,7 +68,7 @@ _encoders: dict[str, Encoder] = {}
 class Encoder:
     """Ids of whole texts. It remembers the ids of each stretch between blanks, up to BOUND stretches, after which it starts afresh; one is kept per Python worker."""
 
-    BOUND, RECENT, SLICE = 1_500_000, 100_000, 4096
+    BOUND, RECENT, SLICE = 1_000_000, 100_000, 4096
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -236,5 +236,5 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         if held:
             yield from flush()
 
-    out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
     return out if with_ids else out.drop("ids")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import LAST_ID, batch, cut, in_sketch, repeated_keys, sketch
+from .shared import LAST_ID, batch, cut, in_sketch, lean, repeated_keys, sketch
 
 #: data, offsets -> (symbols, the rows' offsets in them)
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -63,7 +63,7 @@ def _count(source: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray]
         if held:
             yield from out()
 
-    return source.select("text").mapInArrow(run, "key long, n long")
+    return source.select("text").mapInArrow(lean(run), "key long, n long")
 
 
 def _again(symbols: np.ndarray, offsets: np.ndarray, runs: tuple, chosen: np.ndarray, length: int, k: int) -> tuple:
@@ -108,7 +108,7 @@ def find_classes(source: DataFrame, symbols: Symbols, length: int, k: int, long_
                     row = row + i
                     yield batch(schema, ids[row], ths[row], s0.astype(np.int32), n.astype(np.int32), K.signed(anchor), K.signed(sig))
 
-    found = cut(source.mapInArrow(find, RUNS))
+    found = cut(source.mapInArrow(lean(find), RUNS))
     classes = cut(found.groupBy("anchor", "sig").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.min(F.struct("id", "th", "s0")).alias("first")))
     shared = cut(classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1"))
     return Classes(found, classes, shared)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .segments import beside, by_document, find_classes, keyed
-from .shared import LAST_ID, batch, cut, join_keyed
+from .shared import LAST_ID, batch, cut, join_keyed, lean
 
 WINDOW = 35
 ANCHOR, LONG_ANCHOR = 10, 30
@@ -86,7 +86,7 @@ def phrases(source: DataFrame, window: int, anchor: int) -> DataFrame:
                 a = at[rows - i] + pos
                 yield batch(out, ids[rows], ths[rows], pos.astype(np.int32), pa.array(np.repeat(one[x], total)), K.signed(K.mix(p.span(a, a + window))), K.signed(K.mix(q.span(a, a + window))))
 
-    seen = cut(beside(source, rows, "inner").select("id", "th", "text", "segment").mapInArrow(windows, "id long, th long, pos int, single boolean, k1 long, k2 long"))
+    seen = cut(beside(source, rows, "inner").select("id", "th", "text", "segment").mapInArrow(lean(windows), "id long, th long, pos int, single boolean, k1 long, k2 long"))
     index = cut(seen.groupBy("k1", "k2").agg(F.min(F.struct("id", "pos")).alias("ref"), F.count("*").alias("k")).where("k > 1").select("k1", "k2", "ref"))
     hits = join_keyed(seen.where("single"), index, ["k1", "k2"], "inner").select("id", "th", F.struct(F.col("pos").alias("s0"), F.lit(1).alias("n"), F.col("ref.id").alias("ref"), F.col("ref.pos").alias("ref_s0")).alias("phrase"))
     return full.union(hits)
@@ -127,5 +127,5 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 yield batch(out, b.column("doc_id").slice(i, j - i), np.diff(at), removed, [hashlib.sha256(x).hexdigest() for x in texts], lists, [x.decode() for x in texts] if with_text else pa.nulls(j - i, pa.string()))
 
     joined = beside(source, rows, "left").select(F.when(F.col("id") != LAST_ID, F.col("id")).alias("doc_id"), "text", "phrase")
-    done = joined.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start:int,words:int,ref:long,ref_start:int>>, text string")
+    done = joined.mapInArrow(lean(remove), "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start:int,words:int,ref:long,ref_start:int>>, text string")
     return done if with_text else done.drop("text")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .langid import HELD, fold
-from .shared import batch
+from .shared import batch, lean
 
 #: Labelled rows that training may read, in expectation, and lexicon voters kept (documented bounds).
 TRAIN_ROWS = 40_000
@@ -188,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     size = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("gold"), F.lit(0)).alias("pos")).first()
     share_pos = (size.pos + 1) / (size.n + 2)
-    by = sample.mapInArrow(count, "bucket int, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    by = sample.mapInArrow(lean(count), "bucket int, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     # a lexicon entry must be seen in enough toxic rows and be several times as frequent there
     lift = (F.col("pos") + 0.5) / (F.col("pos") + F.col("neg") + 1.0 / max(share_pos, 1e-3)) / F.lit(share_pos)
     best = by.where("pos >= 4").withColumn("lift", lift).where("lift > 3").orderBy(F.desc(F.col("pos") * F.log("lift")), "bucket").limit(voters)
@@ -207,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 v = np.packbits(votes(data, offsets, own, len(table.value)), axis=1)
                 yield batch(seen, [x.tobytes() for x in v], gold[i:j].astype(np.int32))
 
-    got = sample.mapInArrow(vote, "votes binary, gold int").toPandas()  # some 45 bytes for each of the bounded sample's rows
+    got = sample.mapInArrow(lean(vote), "votes binary, gold int").toPandas()  # some 45 bytes for each of the bounded sample's rows
     width = len(lexicon) + len(PATTERNS)
     v = np.unpackbits(np.frombuffer(b"".join(map(bytes, got.votes)), np.uint8).reshape(len(got), -1), axis=1)[:, :width].astype(bool)
     order = np.lexsort([*np.packbits(v, axis=1).T, got.gold.to_numpy()])  # results don't depend on the order of rows
@@ -234,7 +234,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                     fired[i:j] = v.sum(1)
             yield batch(out, b.column("doc_id").cast(pa.int64()), s, fired)
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double, fired int")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), "doc_id long, score double, fired int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
