@@ -15,6 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,12 +77,36 @@ def _again(symbols: np.ndarray, offsets: np.ndarray, runs: tuple, chosen: np.nda
     return row[sub], s0[sub] + first, k_, anchor, sig
 
 
-def find_classes(source: DataFrame, symbols: Symbols, length: int, k: int, long_k: int, crowd: int = CROWD) -> Classes:
+class Finder(NamedTuple):
+    """Broadcast sketches that say which runs may be repeated; `runs` gives those of one chunk."""
+
+    symbols: Symbols
+    length: int
+    k: int
+    long_k: int
+    repeated: Broadcast
+    crowded: Broadcast
+    far: Broadcast
+
+    def runs(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """row, s0, n, anchor, sig."""
+        own, at = self.symbols(data, offsets)
+        runs = K.anchored_runs(K.Prefix(own), at, self.length, self.k)
+        many = in_sketch(self.crowded.value, runs[3])
+        ok = in_sketch(self.repeated.value, runs[3]) & ~many
+        parts = [tuple(x[ok] for x in runs)]
+        if many.any():
+            again = _again(own, at, runs, many, self.length, self.long_k)
+            parts.append(tuple(x[in_sketch(self.far.value, again[3])] for x in again))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def finder(source: DataFrame, symbols: Symbols, length: int, k: int, long_k: int, crowd: int | None = None) -> Finder:
     """An anchor that more than `crowd` runs share, such as a common line in ever other surroundings, is crowded: its runs are cut anew by a
     longer anchor, and of those again only repeated ones are kept. So no later group is as large as the crowd, save of equal contents, which are one class."""
     broadcast = source.sparkSession.sparkContext.broadcast
     few = cut(repeated_keys(_count(source, lambda data, offsets: K.anchored_runs(K.Prefix((s := symbols(data, offsets))[0]), s[1], length, k)[3])))
-    repeated, crowded = broadcast(sketch(few.select("key"))), broadcast(sketch(few.where(F.col("n") > crowd).select("key")))
+    repeated, crowded = broadcast(sketch(few.select("key"))), broadcast(sketch(few.where(F.col("n") > (crowd or CROWD)).select("key")))
 
     def crowded_anchors(data, offsets):
         own, at = symbols(data, offsets)
@@ -89,21 +114,17 @@ def find_classes(source: DataFrame, symbols: Symbols, length: int, k: int, long_
         return _again(own, at, runs, in_sketch(crowded.value, runs[3]), length, long_k)[3]
 
     far = broadcast(sketch(repeated_keys(_count(source, crowded_anchors)).select("key")) if crowded.value.any() else np.zeros_like(crowded.value))
+    return Finder(symbols, length, k, long_k, repeated, crowded, far)
+
+
+def find_classes(source: DataFrame, find_runs: Finder) -> Classes:
     schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("s0", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("sig", pa.int64())])
 
     def find(batches):
         for b in batches:
             ids, ths = b.column("id").to_numpy(), b.column("th").to_numpy()
             for i, _, data, offsets in K.chunks(b.column("text")):
-                own, at = symbols(data, offsets)
-                runs = K.anchored_runs(K.Prefix(own), at, length, k)
-                many = in_sketch(crowded.value, runs[3])
-                ok = in_sketch(repeated.value, runs[3]) & ~many
-                parts = [tuple(x[ok] for x in runs)]
-                if many.any():
-                    parts.append(_again(own, at, runs, many, length, long_k))
-                    parts[1] = tuple(x[in_sketch(far.value, parts[1][3])] for x in parts[1])
-                row, s0, n, anchor, sig = (np.concatenate(x) for x in zip(*parts, strict=True))
+                row, s0, n, anchor, sig = find_runs.runs(data, offsets)
                 if len(row):
                     row = row + i
                     yield batch(schema, ids[row], ths[row], s0.astype(np.int32), n.astype(np.int32), K.signed(anchor), K.signed(sig))
@@ -115,8 +136,8 @@ def find_classes(source: DataFrame, symbols: Symbols, length: int, k: int, long_
 
 
 def by_document(spans: DataFrame, value: str) -> DataFrame:
-    """One row per document with its structs `value` as an array, cut."""
-    return cut(spans.groupBy("id", "th").agg(F.collect_list(value).alias(value)))
+    """One row per document with its structs `value` as an array."""
+    return spans.groupBy("id", "th").agg(F.collect_list(value).alias(value))
 
 
 def beside(source: DataFrame, rows: DataFrame, how: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .segments import beside, by_document, find_classes, keyed
+from .segments import beside, by_document, find_classes, finder, keyed
 from .shared import LAST_ID, batch, cut, join_keyed, lean
 
 WINDOW = 35
@@ -59,7 +59,7 @@ def parse(s0: np.ndarray, n: np.ndarray, ref: np.ndarray, ref_s0: np.ndarray, wi
 
 def phrases(source: DataFrame, window: int, anchor: int) -> DataFrame:
     """id, th, phrase: struct(s0, n, ref, ref_s0) for all windows that occur more than once."""
-    runs, classes, shared = find_classes(source, word_symbols, window, anchor, window * LONG_ANCHOR // WINDOW)
+    runs, classes, shared = find_classes(source, finder(source, word_symbols, window, anchor, window * LONG_ANCHOR // WINDOW))
     whole = cut(classes.where("k > 1").select("anchor", "sig", "first"))
     full = join_keyed(runs, whole, ["anchor", "sig"], "inner").select("id", "th", F.struct("s0", "n", F.col("first.id").alias("ref"), F.col("first.s0").alias("ref_s0")).alias("phrase"))
     single = join_keyed(classes, shared, ["anchor"], "left_semi").select("first.id", "first.th", F.struct("first.s0", "n", (F.col("k") == 1).alias("single")).alias("segment"))
