@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines
+from .sql import ORACLE_SQL  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +29,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import substring_dedup
 
-    return substring_dedup(table(spark, sf_dir, "documents")).withColumn("factors", F.size("factors"))
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("factors")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,5 +75,3 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_substring_dedup, op4_line_dedup, op5_language_id, op6_decontamination, op7_suffix_dedup, op8_license_scan, op9_media, op10_ngram_join)}
-
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": lines.SQL}
