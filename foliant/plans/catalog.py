@@ -281,6 +281,107 @@ def verify_summary(spark, sf_dir):
     return verify.verify_totals(verify.verify_renders(images, again)).select(key("conv_id"), "pages", "match", "mismatch", "skip", "both_empty")
 
 
+@query("""SELECT CASE o_orderkey % 5 WHEN 0 THEN 'single' WHEN 1 THEN 'bundled' WHEN 2 THEN 'unknown' WHEN 3 THEN 'indirect' ELSE 'unknown' END AS kind, o_orderkey % 5 IN (2, 4) AS broken, count(*)::BIGINT AS n FROM orders GROUP BY 1, 2""")
+def container_kinds(spark, sf_dir):
+    def make(o_orderkey):
+        n = o_orderkey % 5
+        single = X.single(X.info(10, 10))
+        data = (single, X.bundle([("p", None, 1, single[4:])]), b"no container at all", X.single(X.chunk("DIRM", b"\x01\0\x01" + compress(b"\0\0\0\x01a\0")), kind="DJVM"), X.single(kind="DJVM") + b"\0" * 8)
+        return str(o_orderkey), data[n]
+
+    kinds = R.container_kind(tables.documents(X.pack(table(spark, sf_dir, "orders").select("o_orderkey"), make)))
+    return kinds.groupBy("kind", F.col("error").isNotNull().alias("broken")).agg(F.count("*").alias("n"))
+
+
+def ground(w: int, h: int, slices: int = 0) -> bytes:
+    """A background chunk of an even grey, 128 in each channel."""
+    return bytes([0, slices, 1, 2, w >> 8, w & 255, h >> 8, h & 255, 0x80])
+
+
+@query("""SELECT p_partkey, ((p_size + 21) // 2)::BIGINT AS width, ((p_partkey % 30 + 21) // 2)::BIGINT AS height, (((p_size + 21) // 2) * ((p_partkey % 30 + 21) // 2) * 3)::BIGINT AS n,
+(CASE p_partkey % 3 WHEN 0 THEN 128 ELSE floor(255 * pow(128 / 255.0::DOUBLE, 1 / (2.2::DOUBLE / (CASE p_partkey % 3 WHEN 1 THEN 1.8::DOUBLE ELSE 1.0::DOUBLE END))) + 0.5) END)::BIGINT AS value FROM part""")
+def photo_render(spark, sf_dir):
+    """A background at a third of the page's size, scaled to half of it, through the gamma table."""
+    source = table(spark, sf_dir, "part").selectExpr("p_partkey", "cast(p_size + 20 as int) as w", "cast(p_partkey % 30 + 20 as int) as h")
+
+    def make(p_partkey, w, h):
+        return str(p_partkey), X.single(X.info(w, h, gamma=(22, 18, 10)[p_partkey % 3]), X.chunk("BG44", ground(-(-w // 3), -(-h // 3))))
+
+    images = tables.renders(tables.page_units(X.pack(source, make)), 2)
+    even = F.hex("data") == F.repeat(F.hex(F.expr("substring(data, 1, 1)")), F.octet_length("data"))
+    return images.where(even).select(key("p_partkey"), *long("width", "height"), F.octet_length("data").cast("long").alias("n"), F.conv(F.hex(F.expr("substring(data, 1, 1)")), 16, 10).cast("long").alias("value"))
+
+
+def palette_chunk(colours: list[tuple[int, int, int]], indices: list[int]) -> bytes:
+    body = b"\x80" + len(colours).to_bytes(2, "big") + b"".join(bytes(c[::-1]) for c in colours)
+    return X.chunk("FGbz", body + X.u24(len(indices)) + compress(b"".join(i.to_bytes(2, "big") for i in indices)))
+
+
+@query("""SELECT p_size, (p_partkey % 40)::BIGINT AS x, (p_partkey // 40 % 30)::BIGINT AS y, (max(p_partkey) % 5 * 50)::BIGINT AS r, (255 - max(p_partkey) % 5)::BIGINT AS g, (max(p_partkey) % 5)::BIGINT AS b FROM part GROUP BY 1, 2, 3""")
+def compound_render(spark, sf_dir):
+    """Coloured marks on a ground; where marks meet, the later one shows."""
+    marks = table(spark, sf_dir, "part").groupBy("p_size").agg(F.array_sort(F.collect_list("p_partkey")).alias("parts"))
+
+    def make(p_size, parts):
+        dot = np.ones((1, 1), np.uint8)
+        mask = jb2.encode(40, 30, [(dot, p % 40, p // 40 % 30) for p in parts])
+        colours = [(50 * k, 255 - k, k) for k in range(5)]
+        return str(p_size), X.single(X.info(40, 30), X.chunk("Sjbz", mask), X.chunk("BG44", ground(20, 15)), palette_chunk(colours, [p % 5 for p in parts]))
+
+    images = tables.renders(tables.page_units(X.pack(marks, make)))
+    spots = table(spark, sf_dir, "part").select(F.col("p_size").cast("string").alias("path"), (F.col("p_partkey") % 40).alias("x"), F.floor(F.col("p_partkey") / 40 % 30).alias("y")).distinct()
+    at = "cast(((29 - y) * 40 + x) * 3 as int)"
+    channel = lambda k: F.expr(f"cast(conv(hex(substring(data, {at} + {k + 1}, 1)), 16, 10) as long)")
+    return images.select("path", "data").join(spots, "path").select(F.col("path").cast("int").alias("p_size"), *long("x", "y"), *[channel(k).alias(c) for k, c in enumerate("rgb")])
+
+
+@query("SELECT DISTINCT p_size, (29 - p_partkey // 40 % 30)::BIGINT AS x, (39 - p_partkey % 40)::BIGINT AS y FROM part")
+def rotated_marks(spark, sf_dir):
+    """Ink of pages turned counter-clockwise, from the top left of the turned page."""
+    marks = table(spark, sf_dir, "part").groupBy("p_size").agg(F.array_sort(F.collect_list("p_partkey")).alias("parts"))
+
+    def make(p_size, parts):
+        dot = np.ones((1, 1), np.uint8)
+        return str(p_size), X.single(X.info(40, 30, flags=6), X.chunk("Sjbz", jb2.encode(40, 30, [(dot, p % 40, p // 40 % 30) for p in parts])))
+
+    def ink(path, width, height, data):
+        for y, x in zip(*np.nonzero(np.frombuffer(data, np.uint8).reshape(height, width) == 0), strict=True):
+            yield int(path), int(x), int(y)
+
+    return tables.rows(tables.renders(tables.page_units(X.pack(marks, make))), "p_size int, x long, y long", ink)
+
+
+@query("SELECT conv_id, turn AS page_no, (turn % 90)::BIGINT AS x, true AS inherited, 'https://example.org/' || conv_id AS url FROM conversations")
+def shared_components(spark, sf_dir):
+    """Pages whose shapes and links come from one included component."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+
+    def make(conv_id, turns):
+        dot = np.ones((2, 2), np.uint8)
+        base = jb2.encode(0, 0, [(dot, 0, 0)])
+        note = f"(maparea {X.quoted(f'https://example.org/{conv_id}')} {X.quoted('')} (rect 0 0 9 9))"
+        shared = X.form("DJVI", X.chunk("Djbz", base), X.chunk("ANTa", note.encode()))
+        dictionary = jb2.decode(base, is_image=False)
+        pages = [(f"p{t}", None, 1, X.form("DJVU", X.info(100, 50), X.chunk("INCL", b"shared"), X.chunk("Sjbz", jb2.encode(100, 50, [(dot, t % 90, 3)], dictionary)))) for t in turns]
+        return str(conv_id), X.bundle([("shared", None, 0, shared), *pages])
+
+    files = X.pack(turns, make)
+    units = tables.page_units(files)
+    placed = R.blit_shapes(tables.jb2_blits(units), tables.jb2_shapes(units))
+    return placed.join(tables.links(files).select("path", "page_no", "url"), ["path", "page_no"]).select(key("conv_id"), *long("page_no"), F.col("left").cast("long").alias("x"), "inherited", "url")
+
+
+@query("SELECT p_partkey, 'background' AS layer, (p_size + 1)::BIGINT AS width, (p_partkey % 40 + 1)::BIGINT AS height, (p_partkey % 3 + 1)::BIGINT AS chunks, ((p_partkey % 3 + 1) * (p_size % 3))::BIGINT AS slices FROM part")
+def layer_headers(spark, sf_dir):
+    source = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size")
+
+    def make(p_partkey, p_size):
+        first = ground(p_size + 1, p_partkey % 40 + 1, p_size % 3)
+        return str(p_partkey), X.single(X.info(100, 100), *[X.chunk("BG44", first if n == 0 else bytes([n, p_size % 3])) for n in range(p_partkey % 3 + 1)])
+
+    return tables.layers(tables.page_units(X.pack(source, make))).select(key("p_partkey"), "layer", *long("width", "height", "chunks", "slices"))
+
+
 # --- kernels on columns ---------------------------------------------------------------------------
 
 
