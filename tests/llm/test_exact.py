@@ -48,7 +48,7 @@ def test_keep_one(docs):
 @pytest.mark.parametrize("crowd", [1000, 3])
 @pytest.mark.parametrize(("window", "anchor"), [(35, 10), (12, 4)])
 def test_substring(docs, monkeypatch, window, anchor, crowd):
-    monkeypatch.setattr(segments.find_classes, "__defaults__", (crowd,))
+    monkeypatch.setattr(segments, "CROWD", crowd)
     out = substring.substring_dedup(docs, window=window, anchor=anchor, with_text=True).collect()
     expected = B.groups((i, v) for (i, _), v in B.kept_words(pairs(), window).items())
     assert len(out) == len(B.rows())
@@ -68,7 +68,7 @@ def test_factors():
 @pytest.mark.parametrize("crowd", [1000, 3])
 @pytest.mark.parametrize(("length", "anchor"), [(100, 48), (30, 12)])
 def test_suffix(docs, monkeypatch, length, anchor, crowd):
-    monkeypatch.setattr(segments.find_classes, "__defaults__", (crowd,))
+    monkeypatch.setattr(segments, "CROWD", crowd)
     out = rindex.suffix_dedup(docs, length=length, anchor=anchor).collect()
     expected = B.groups((i, v) for (i, _), v in B.kept_bytes(set(pairs()), length).items())
     assert len(out) == len(B.rows())
