@@ -36,7 +36,7 @@ END_ID = 1
 MID_SENTENCE, MID_DOCUMENT = 12, 2
 GRID = 64
 #: Ids of documents that one dynamic programme takes at most (at least one document).
-STREAM = 1 << 21
+STREAM = 1 << 19
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0D]] = True
 STOPS = np.zeros(256, bool)
@@ -68,7 +68,7 @@ _encoders: dict[str, Encoder] = {}
 class Encoder:
     """Ids of whole texts. It remembers the ids of each stretch between blanks, up to BOUND stretches, after which it starts afresh; one is kept per Python worker."""
 
-    BOUND, RECENT, SLICE = 1_000_000, 100_000, 4096
+    BOUND, RECENT, SLICE = 1_500_000, 100_000, 4096
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -227,7 +227,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
             held.clear()
 
         for b in batches:
-            for i, j, data, offsets in K.chunks(b.column("text"), 1 << 19):
+            for i, j, data, offsets in K.chunks(b.column("text")):
                 held.append((b.column("doc_id").slice(i, j - i).cast(pa.int64()), *encode(data, offsets)))
                 size += len(held[-1][1])
                 if size >= STREAM:
