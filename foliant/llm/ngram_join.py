@@ -235,8 +235,8 @@ def grouped(docs: DataFrame, doc_id: str, text: str, words: int, similarity: tup
     heads = cut(listed.groupBy("token").agg(F.min(me).alias("head"), F.count("*").alias("k")).where("k > 1").select("token", "head"))
     members = cut(join_keyed(listed, heads, ["token"], "inner").select("head", "id", "c1").distinct())
     sized = members.join(reps.select("id", "c1", F.octet_length("grams").alias("bytes")), ["id", "c1"])
-    cells = sized.groupBy("head").agg(F.ceil(F.sum("bytes") / CELL).cast("int").alias("blocks"), F.count("*").alias("k")).where("k > 1").select("head", "blocks")
-    placed = members.join(cells, "head").withColumn("side", F.expr("cast(pmod(xxhash64(id, c1), blocks) as int)"))
+    cells = cut(sized.groupBy("head").agg(F.ceil(F.sum("bytes") / CELL).cast("int").alias("blocks"), F.count("*").alias("k")).where("k > 1").select("head", "blocks"))
+    placed = join_keyed(members, cells, ["head"], "inner").withColumn("side", F.expr("cast(pmod(xxhash64(id, c1), blocks) as int)"))
     dealt = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("head", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "c1")
     cell = F.xxhash64("head.id", "head.c1", "i", "j").alias("cell")
     filled = dealt.join(reps.select("id", "c1", "grams"), ["id", "c1"]).select(cell, "i", "j", "side", "id", "c1", "grams").repartition("cell").sortWithinPartitions("cell")
