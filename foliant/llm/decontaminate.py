@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
-Texts are lowered and their words typed: numbers, names (capitalised inside a sentence) and
+Texts are lowered and their words typed: numbers, names (capitalised inside a sentence, but not in capitals throughout) and
 units after numbers become placeholders, so a question with other numbers or names has the same
 template. Five-word template windows are hash-joined with those of the benchmark. A document that
 holds CONTAINMENT of an item's distinct windows is a candidate; then slots are checked: for each
@@ -26,7 +26,7 @@ LITERALS = 2
 
 #: Units that a number may carry.
 UNITS = ("km", "m", "cm", "mm", "kg", "g", "mg", "l", "ml", "s", "min", "h", "hours", "hour", "minutes", "seconds", "days", "weeks", "years", "usd", "eur", "dollars", "euros", "cents", "percent", "miles", "feet", "inches", "pounds", "tons", "degrees")
-NAME = r"([^.!?\s\x01] )(\p{Lu})"
+NAME = r"([^.!?\s\x01] )(\p{Lu}\p{Ll})"
 UNIT = rf"([0-9]) ?({'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})\b"
 GAP = r"[^\p{L}\p{N}\x01\x02]+"
 NAME_MARK, UNIT_MARK = "\x01", "\x02"
