@@ -79,7 +79,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     own = cut(candidates.select("id", "th").distinct())
     n_own = own.count()
     ws = join_keyed(source, own, ["id", "th"], "left_semi", rows=n_own).dropDuplicates(["id", "th"])
-    placed = hits.join(candidates, ["id", "th"]).join(index.drop("total"), ["item", "it", "key"])
+    placed = join_keyed(hits.join(candidates, ["id", "th"]), index.drop("total"), ["item", "it", "key"], "inner", rows=n_rows)
     matched = placed.join(ws, ["id", "th"]).select("id", "th", "item", "it", "total", "key", "pos", "dp", "iw", F.slice("ws", F.col("dp") + 1, F.lit(words)).alias("dw"))
     slots = matched.selectExpr("id", "th", "item", "it", "key", "pos", "dp", f"inline(filter(transform(iw, (w, k) -> named_struct('a', w, 'b', dw[k])), x -> {is_slot('x.a')}))")
     group = ["id", "th", "item", "it"]
