@@ -63,7 +63,7 @@ def phrases(source: DataFrame, window: int, anchor: int) -> DataFrame:
     whole = cut(classes.where("k > 1").select("anchor", "sig", "first"))
     full = join_keyed(runs, whole, ["anchor", "sig"], "inner").select("id", "th", F.struct("s0", "n", F.col("first.id").alias("ref"), F.col("first.s0").alias("ref_s0")).alias("phrase"))
     single = join_keyed(classes, shared, ["anchor"], "left_semi").select("first.id", "first.th", F.struct("first.s0", "n", (F.col("k") == 1).alias("single")).alias("segment"))
-    rows = by_document(single, "segment")
+    rows = cut(by_document(single, "segment"))
     out = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("single", pa.bool_()), ("k1", pa.int64()), ("k2", pa.int64())])
 
     def windows(batches):
@@ -95,7 +95,7 @@ def phrases(source: DataFrame, window: int, anchor: int) -> DataFrame:
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, factors (start, words, ref, ref_start), and on request the kept text."""
     source = keyed(docs, doc_id, text)
-    rows = by_document(phrases(source, window, anchor), "phrase")
+    rows = cut(by_document(phrases(source, window, anchor), "phrase"))  # so that shuffles before it can go
     factor = pa.struct([("start", pa.int32()), ("words", pa.int32()), ("ref", pa.int64()), ("ref_start", pa.int32())])
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("factors", pa.list_(factor)), ("text", pa.string())])
 
