@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.operators.tables import rows
@@ -72,8 +72,8 @@ def shared_parts(files: DataFrame) -> DataFrame:
     return rows(files, "path string, form_type string, bundled boolean, shared_dicts int, shared_dict_bytes long, shared_annot_bytes long, thumbnails int, navm_bytes long", make)
 
 
-def page_features(pages: DataFrame) -> DataFrame:
-    """(path, feature) of each page."""
+def page_features() -> Column:
+    """The features that a page's inventory shows, as an array."""
     when = lambda c, name: F.when(c, F.lit(name))
     col = F.col
     names = F.array(
@@ -82,7 +82,7 @@ def page_features(pages: DataFrame) -> DataFrame:
         when(col("fgbz_bytes") > 0, "fgbz-palette"), when(col("fgbz_shape_table"), "fgbz-shapetable"), when(col("jpeg_bytes") > 0, "jpeg-layers"), when(col("txtz_bytes") > 0, "text-txtz"), when(col("txta_bytes") > 0, "text-txta"),
         when(col("antz_bytes") + col("anta_bytes") > 0, "anno"), when(col("rotation") != 0, "rotated"), when(col("gamma") != 2.2, "nonstandard-gamma"),
     )
-    return pages.select("path", F.explode(F.filter(names, lambda x: x.isNotNull())).alias("feature"))
+    return F.filter(names, lambda x: x.isNotNull())
 
 
 def document_features(files: DataFrame) -> DataFrame:
@@ -93,8 +93,10 @@ def document_features(files: DataFrame) -> DataFrame:
     kind = F.when(bundle & F.col("bundled"), "djvm-bundled").when(bundle, "djvm-indirect").when(F.col("form_type").isin("PM44", "BM44"), "standalone-iw44").otherwise("single-page")
     names = F.array(kind, when(F.col("shared_dicts") > 0, "shared-dict"), when(F.col("thumbnails") > 0, "thumbnails"), when(F.col("navm_bytes") > 0, "outline"), when(F.col("shared_annot_bytes") > 0, "shared-anno"))
     whole = parts.select("path", F.explode(F.filter(names, lambda x: x.isNotNull())).alias("feature"))
-    many = pages.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path", F.lit("multi-page").alias("feature"))
-    return whole.union(many).union(page_features(pages)).distinct()
+    # one parse of the pages: their features are gathered as sets, which are small, before any row is made of them
+    by = pages.withColumn("_page", page_features()).groupBy("path").agg(F.array_distinct(F.flatten(F.collect_set("_page"))).alias("own"), F.count("*").alias("n"))
+    own = by.select("path", F.explode(F.when(F.col("n") > 1, F.array_append("own", F.lit("multi-page"))).otherwise(F.col("own"))).alias("feature"))
+    return whole.union(own)
 
 
 def document_inventory(files: DataFrame) -> DataFrame:

@@ -579,6 +579,6 @@ def image_diff_stats(spark, sf_dir):
     return R.image_difference(pairs, "a", "b", ["vec_id"])
 
 
-@query("""SELECT doc_id, CASE WHEN n >= 1024 THEN printf('%.1f KB', n / 1024) ELSE n || ' B' END AS size FROM (SELECT doc_id, octet_length(encode(text)) AS n FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN n >= 1024 THEN printf('%.1f KB', floor(n * 10 / 1024 + 0.5) / 10) ELSE n || ' B' END AS size FROM (SELECT doc_id, octet_length(encode(text)) AS n FROM documents)""")
 def readable_sizes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", R.readable_bytes(F.octet_length("text")).alias("size"))
