@@ -23,12 +23,16 @@ LEVEL_BITS = 24
 LAST_ID = (1 << 63) - 1
 
 
+_own_folder: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir, or the context's checkpoint folder; a temporary one of this process only where both are unset, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="foliant-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not _own_folder:
+            _own_folder.append(tempfile.mkdtemp(prefix="foliant-"))
+        folder = _own_folder[0]
     return folder.rstrip("/")
 
 
