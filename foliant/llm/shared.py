@@ -37,10 +37,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
-    path = f"{shared_folder(df.sparkSession)}/foliant-{uuid.uuid4().hex}"
+    """Write a frame to the shared folder and read it back: lineage ends there, and a lost executor loses nothing. The files go when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/foliant-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def packed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
