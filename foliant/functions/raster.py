@@ -167,7 +167,7 @@ def stencil(page: np.ndarray, mask: jb2.Image, width: int, height: int, sub: int
             continue
         colour = colour_of(i, palette, indices)
         flat = colour if colour is not None else black
-        sample = front is not None and colour is None and not (sub == 1 and palette is not None and indices is not None and i < len(indices))
+        sample = front is not None and colour is None
         if sub == 1:
             for y, x0, x1 in r.tolist():
                 if sample:

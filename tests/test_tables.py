@@ -90,6 +90,17 @@ def test_subsampled_blend(book):
     assert p[1, 1].tolist() == [(128 * (255 - alpha) + c * alpha + 127) // 255 for c in (0, 0, 255)]
 
 
+def test_front_layer(spark):
+    """Marks without a palette take the nearest sample of the front layer, at any reduction."""
+    front = bytes([0, 0, 1, 2, 0, 10, 0, 8, 0x80])
+    data = X.single(X.info(40, 30), X.chunk("Sjbz", jb2.encode(40, 30, [(DOT, 5, 6)])), X.chunk("BG44", bytes([0, 0, 0x81, 2, 0, 20, 0, 15, 0])), X.chunk("FG44", front))
+    units = tables.page_units(files(spark, ("f", data)))
+    full = image(tables.renders(units).first())[::-1]
+    assert full[6, 5].tolist() == [128] * 3 and full[0, 0].tolist() == [127] * 3
+    half = image(tables.renders(units, 2).first())[::-1]
+    assert half[3, 3].tolist() == [128] * 3 and half[0, 0].tolist() == [127] * 3
+
+
 def test_options(book):
     units = tables.page_units(book)
     plain = {r.page_no: r for r in tables.renders(units, compose=False).collect()}
