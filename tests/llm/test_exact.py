@@ -198,6 +198,23 @@ def test_licenses(spark):
     assert 0.8 <= six.containment < 1 and len(own)
 
 
+def test_license_recall():
+    """Edited notices that keep 0.8 of their shingles are found, wherever they are."""
+    rng, lib, found, total = np.random.default_rng(1), licenses.Library(licenses.TEMPLATES), 0, 0
+    notices = [(n, bytes(licenses.PLAIN[np.frombuffer(t.encode(), np.uint8)]).decode().split()) for n, ts in licenses.TEMPLATES.items() for t in ts]
+    for _ in range(300):
+        name, plain = notices[rng.integers(len(notices))]
+        words = list(plain)
+        for _ in range(rng.integers(0, 1 + len(words) // 25)):
+            words[rng.integers(len(words))] = "other"
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (plain, words))
+        if len(a & b) >= 0.8 * len(a):
+            data = np.frombuffer(f"{B.prose(30)} {' '.join(words)} {B.prose(30)}".encode(), np.uint8)
+            total += 1
+            found += any(lib.names[t] == name for _, t, *_ in licenses.find(data, np.array([0, len(data)]), lib))
+    assert total > 200 and found >= 0.97 * total
+
+
 def test_decontamination(spark):
     item = "Tom has 5 apples and Ann gives Tom 3 more apples each day for 2 weeks so how many apples does Tom have in the end of it all"
     other = item.replace("Tom", "Max").replace("Ann", "Eve").replace(" 5 ", " 7 ").replace(" 3 ", " 4 ")
