@@ -129,6 +129,8 @@ class Plane:
 
     def samples(self, half: bool = False) -> np.ndarray:
         """Signed 8-bit samples; half: the finest scale is left out and pixels repeat."""
+        if not any(v is not None for block in self.blocks for v in block):
+            return np.zeros((self.height, self.width), np.int8)  # an even plane needs no transform
         data = self.coefficients()
         inverse(data[: self.height, : self.width], 2 if half else 1)
         if half:

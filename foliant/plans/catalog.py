@@ -283,11 +283,11 @@ def verify_summary(spark, sf_dir):
 
 @query("""SELECT CASE o_orderkey % 5 WHEN 0 THEN 'single' WHEN 1 THEN 'bundled' WHEN 2 THEN 'unknown' WHEN 3 THEN 'indirect' ELSE 'unknown' END AS kind, o_orderkey % 5 IN (2, 4) AS broken, count(*)::BIGINT AS n FROM orders GROUP BY 1, 2""")
 def container_kinds(spark, sf_dir):
+    single = X.single(X.info(10, 10))
+    data = (single, X.bundle([("p", None, 1, single[4:])]), b"no container at all", X.single(X.chunk("DIRM", b"\x01\0\x01" + compress(b"\0\0\0\x01a\0")), kind="DJVM"), X.single(kind="DJVM") + b"\0" * 8)
+
     def make(o_orderkey):
-        n = o_orderkey % 5
-        single = X.single(X.info(10, 10))
-        data = (single, X.bundle([("p", None, 1, single[4:])]), b"no container at all", X.single(X.chunk("DIRM", b"\x01\0\x01" + compress(b"\0\0\0\x01a\0")), kind="DJVM"), X.single(kind="DJVM") + b"\0" * 8)
-        return str(o_orderkey), data[n]
+        return str(o_orderkey), data[o_orderkey % 5]
 
     kinds = R.container_kind(tables.documents(X.pack(table(spark, sf_dir, "orders").select("o_orderkey"), make)))
     return kinds.groupBy("kind", F.col("error").isNotNull().alias("broken")).agg(F.count("*").alias("n"))
