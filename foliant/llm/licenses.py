@@ -9,9 +9,9 @@ containment of its distinct shingles, and CONTAINMENT of them must be there.
 
 Defined results: null and empty texts match nothing. Of overlapping matches
 of one license the fullest counts, then the longest, then the first; one of another license gives
-way to a fuller one. Templates under five words are one shingle of all their words and
-would match as such; the library has none. Repeated rows give repeated matches. Extra columns are
-ignored.
+way to a fuller one. Templates under five words are one shingle of all their words and match
+where a text has exactly these words in a row; such a match gives way to any longer template of
+its license. Repeated rows give repeated matches. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,19 +33,19 @@ STRIDE = {1: 1, 4: 1, 16: 4}
 #: Short notices and characteristic paragraphs of well-known public licenses.
 TEMPLATES = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at', "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
-    "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'),
+    "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software', "MIT License", "SPDX-License-Identifier: MIT"),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "either version 3 of the License, or (at your option) any later version."),
     "GPL-2.0": ("either version 2 of the License, or (at your option) any later version.", "licensed under the GNU General Public License, version 2."),
     "LGPL": ("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",),
     "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
-    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "ISC License", "SPDX-License-Identifier: ISC"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
-    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC0-1.0": ("dedicated to the public domain under the CC0 1.0 Universal Public Domain Dedication.",),
-    "All rights reserved": ("All rights reserved. No part of this work may be reproduced",),
+    "All rights reserved": ("All rights reserved. No part of this work may be reproduced", "All rights reserved."),
 }
 
 #: Letters and digits in lower case; all other ASCII separates words.
@@ -53,26 +53,33 @@ PLAIN = K.LOWER.copy()
 PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = 0x20
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the five words from each word on (only where the row has them), and the rows' word offsets."""
+def word_sums(data: np.ndarray, offsets: np.ndarray) -> tuple[K.Prefix, np.ndarray]:
+    """Prefix sums of word hashes, whose grams may reach over rows, and the rows' word offsets."""
     low = PLAIN[data]
     starts, ends, at = K.words(low, offsets)
-    g = K.Prefix(K.word_hashes(low, starts, ends)).grams(WORDS)
-    return g, at
+    return K.Prefix(K.word_hashes(low, starts, ends)), at
 
 
 class Library:
-    """Band keys of all template windows."""
+    """Band keys of all template windows; and, by number of words, the hashes of templates under five words."""
 
     def __init__(self, templates: dict[str, tuple[str, ...]]):
         self.names, self.grams = [], []
+        self.short: dict[int, dict[int, list[int]]] = {}
         keys: dict[int, list[np.ndarray]] = {w: [] for w in SIZES}
         for name, texts in sorted(templates.items()):
             for text in texts:
                 data = np.frombuffer(text.encode(), np.uint8)
-                g, _ = shingles(data, np.array([0, len(data)]))
-                if not len(g):
-                    raise ValueError(f"a template of {name} is under {WORDS} words")
+                sums, at = word_sums(data, np.array([0, len(data)]))
+                n = int(at[-1])
+                if not n:
+                    raise ValueError(f"a template of {name} has no words")
+                g = sums.grams(min(n, WORDS))
+                if n < WORDS:
+                    self.short.setdefault(n, {}).setdefault(int(g[0]), []).append(len(self.names))
+                    self.names.append(name)
+                    self.grams.append(g)
+                    continue
                 w = max(x for x in SIZES if x == 1 or len(g) >= x + STRIDE[x] - 1)
                 for size, band, key in band_keys(g, {w: 1}):
                     keys[size].append(np.stack([key, *(np.broadcast_to(x, len(key)).astype(np.uint64) for x in (band, len(self.names), np.arange(len(key))))], 1))
@@ -105,7 +112,8 @@ def band_keys(g: np.ndarray, strides: dict[int, int]):
 
 def find(data: np.ndarray, offsets: np.ndarray, lib: Library) -> list[tuple[int, int, int, int, float]]:
     """(row, template, first word, words, containment) of verified matches."""
-    g, at = shingles(data, offsets)
+    sums, at = word_sums(data, offsets)
+    g = sums.grams(WORDS)
     spots: list[np.ndarray] = []
     strides = {w: STRIDE[w] for w in lib.tables}
     parts = [band_keys(g, {1: 1})] if 1 in strides else []
@@ -134,9 +142,15 @@ def find(data: np.ndarray, offsets: np.ndarray, lib: Library) -> list[tuple[int,
         if share >= CONTAINMENT:
             where = np.flatnonzero(hit)
             found.append((row, t, a + int(where[0]), int(where[-1] - where[0]) + WORDS, share))
+    for n, own in lib.short.items():
+        h = sums.grams(n)
+        where = np.flatnonzero(np.isin(h, np.fromiter(own, np.uint64, len(own))))
+        row = np.searchsorted(at, where, "right") - 1
+        inside = where + n <= at[row + 1]
+        found += [(r, t, a, n, 1.0) for r, a in zip(row[inside].tolist(), where[inside].tolist(), strict=True) for t in own[int(h[a])]]
     best = []
     covered: dict[int, list] = {}
-    for row, t, start, n, share in sorted(set(found), key=lambda f: (f[0], -f[4], -f[3], f[2], lib.names[f[1]])):
+    for row, t, start, n, share in sorted(set(found), key=lambda f: (f[0], f[3] < WORDS, -f[4], -f[3], f[2], lib.names[f[1]])):
         own = covered.setdefault(row, [])
         if not any((lib.names[u] == lib.names[t] or x > share) and start < s + k and s < start + n for u, s, k, x in own):
             best.append((row, t, start, n, share))

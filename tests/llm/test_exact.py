@@ -215,6 +215,26 @@ def test_license_recall():
     assert total > 200 and found >= 0.97 * total
 
 
+def test_license_lines_of_documents(spark):
+    """Every document with a bare license line has a match of that license, also where the notice is under five words."""
+    kinds = {"All rights reserved.": "All rights reserved", "Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0"}
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    lines = {(r.doc_id, kinds[x]) for r in docs.collect() for x in r.text.split("\n") if x in kinds}
+    found = {(r.doc_id, r.license) for r in licenses.license_scan(docs).collect()}
+    assert {x for _, x in lines} == set(kinds.values()) and lines <= found
+
+
+def test_short_licenses(spark):
+    long = licenses.TEMPLATES["All rights reserved"][0]
+    data = [(1, "all RIGHTS reserved"), (2, "all rights"), (3, "reserved"), (4, f"a {long} b"), (5, f"a {long.replace('reproduced', 'sold')} b"), (6, "(c) X. All rights reserved. MIT License. all rights reserved"), (7, "Released under the MIT License.")]
+    out = licenses.license_scan(spark.createDataFrame(data, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r.doc_id, r.license, r.start_word, r.n_words) for r in out) == [(1, "All rights reserved", 0, 3), (4, "All rights reserved", 1, 11), (5, "All rights reserved", 1, 10), (6, "All rights reserved", 2, 3), (6, "All rights reserved", 7, 3), (6, "MIT", 5, 2), (7, "MIT", 0, 5)]
+    own = licenses.license_scan(spark.createDataFrame(data, "doc_id long, text string"), {"own": ("all rights",)}).collect()
+    assert {r.doc_id for r in own} == {1, 2, 4, 5, 6}
+    with pytest.raises(ValueError):
+        licenses.Library({"none": ("...",)})
+
+
 def test_decontamination(spark):
     item = "Tom has 5 apples and Ann gives Tom 3 more apples each day for 2 weeks so how many apples does Tom have in the end of it all"
     other = item.replace("Tom", "Max").replace("Ann", "Eve").replace(" 5 ", " 7 ").replace(" 3 ", " 4 ")
