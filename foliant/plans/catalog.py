@@ -494,6 +494,14 @@ def alpha_blend_fold(spark, sf_dir):
     return R.blend_fold(paints, ["user_id"], "event_id", "c", "a")
 
 
+@query("""
+WITH p AS (SELECT user_id, list({'c': floor(value)::BIGINT % 256, 'a': event_id % 256} ORDER BY event_id) AS paints FROM events GROUP BY user_id)
+SELECT user_id, (list_reduce(list_prepend({'c': 255::BIGINT, 'a': 0::BIGINT}, paints), lambda d, x: {'c': (d.c * (255 - x.a) + x.c * x.a + 127) // 255, 'a': 0::BIGINT})).c::BIGINT AS painted FROM p""")
+def alpha_blend_fold_all(spark, sf_dir):
+    paints = table(spark, sf_dir, "events").select("user_id", "event_id", (F.floor("value") % 256).alias("c"), (F.col("event_id") % 256).alias("a"))
+    return R.blend_fold(paints, ["user_id"], "event_id", "c", "a")
+
+
 @query("""
 SELECT g::BIGINT AS gamma10, i::BIGINT AS i, (CASE WHEN i IN (0, 255) OR abs(22.0 / g - 1) < 0.001 THEN i ELSE least(255, greatest(0, floor(255 * pow(i / 255.0::DOUBLE, 1 / greatest(0.1, least(10.0, 2.2::DOUBLE / (g / 10.0::DOUBLE)))) + 0.5))) END)::BIGINT AS value
 FROM (VALUES (10), (18), (22), (25), (40)) t(g), range(0, 256) r(i)""")
