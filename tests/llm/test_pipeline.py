@@ -33,6 +33,17 @@ def test_stages_on_awkward_rows(spark):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_near_duplicates_from_four_fifths(spark):
+    """Five-word similarity 0.83 is near, 0.79 isn't."""
+    docs = []
+    for i, n in ((0, 90), (2, 113)):
+        words = B.prose(1000).split(" ")
+        other = [*words[:400], *(f"{w}{k}" for k, w in enumerate(words[400 : 400 + n])), *words[400 + n :]]
+        docs += [(i, " ".join(words)), (i + 1, " ".join(other))]
+    kept = P.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string"), SF)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
+
+
 def test_queries(spark):
     con = connect(SF)
     assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
