@@ -1,8 +1,10 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
-Texts are lowered and their words typed: numbers, names (capitalised inside a sentence, but not in capitals throughout) and
+Texts are lowered and their words typed: numbers (with points and commas between their digits), names (capitalised inside a sentence, but not in capitals throughout) and
 units after numbers become placeholders, so a question with other numbers or names has the same
-template. Five-word template windows are hash-joined with those of the benchmark. A document that
+template. Words capitalised elsewhere, as at the beginning of a sentence or line, may be names or not: an
+item is tried in two forms, with all of them plain and with all of them names, and the better
+counts; a document's windows stand in both readings. Five-word template windows are hash-joined with those of the benchmark. A document that
 holds CONTAINMENT of an item's distinct windows is a candidate; then slots are checked: for each
 item and document, each slot value of the item must stand for one value in the document and the
 other way round. Windows whose slots disagree don't count towards the containment.
@@ -28,20 +30,23 @@ LITERALS = 2
 UNITS = ("km", "m", "cm", "mm", "kg", "g", "mg", "l", "ml", "s", "min", "h", "hours", "hour", "minutes", "seconds", "days", "weeks", "years", "usd", "eur", "dollars", "euros", "cents", "percent", "miles", "feet", "inches", "pounds", "tons", "degrees")
 NAME = r"([^.!?\s\x01] )(\p{Lu}\p{Ll})"
 UNIT = rf"([0-9]) ?({'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})\b"
-GAP = r"[^\p{L}\p{N}\x01\x02]+"
-NAME_MARK, UNIT_MARK = "\x01", "\x02"
+#: Capitalised words that NAME leaves.
+MAYBE = r"(?=\p{Lu}\p{Ll})(?<![\p{L}\p{N}\x01])"
+#: Points and commas between digits stay in the number.
+GAP = r"[^\p{L}\p{N}\x01\x02\x03.,]+|[.,](?:(?![0-9])|(?<![0-9][.,]))"
+NAME_MARK, UNIT_MARK, MAYBE_MARK = "\x01", "\x02", "\x03"
 #: What placeholders hash to, in place of a word.
 SLOTS = {"number": "<number>", "name": "<name>", "unit": "<unit>"}
 
 
 def typed_words(text: Column) -> Column:
-    """The words, each slot marked by its first character: a digit, or a mark."""
-    marked = F.lower(F.regexp_replace(text, NAME, rf"$1{NAME_MARK}$2"))
+    """The words, each slot marked by its first character: a digit, or a mark; words that may be names are marked too."""
+    marked = F.lower(F.regexp_replace(F.regexp_replace(text, NAME, rf"$1{NAME_MARK}$2"), MAYBE, MAYBE_MARK))
     return F.filter(F.split(F.regexp_replace(marked, UNIT, rf"$1 {UNIT_MARK}$2"), GAP), lambda w: w != "")
 
 
 def _template(w: str) -> str:
-    return f"CASE WHEN ascii({w}) BETWEEN 48 AND 57 THEN {hash_of('number')} WHEN ascii({w}) = 1 THEN {hash_of('name')} WHEN ascii({w}) = 2 THEN {hash_of('unit')} ELSE xxhash64({w}) END"
+    return f"CASE WHEN ascii({w}) BETWEEN 48 AND 57 THEN {hash_of('number')} WHEN ascii({w}) = 1 THEN {hash_of('name')} WHEN ascii({w}) = 2 THEN {hash_of('unit')} WHEN ascii({w}) = 3 THEN xxhash64(substr({w}, 2)) ELSE xxhash64({w}) END"
 
 
 def hash_of(slot: str) -> str:
@@ -52,16 +57,28 @@ def is_slot(w: str) -> str:
     return f"(ascii({w}) BETWEEN 48 AND 57 OR ascii({w}) IN (1, 2))"
 
 
+def forms(ws: str) -> str:
+    """SQL of the arrays of an item's words: what may be a name as a plain word, and, if there is any, as a name."""
+    plain, name = f"transform({ws}, w -> if(ascii(w) = 3, substr(w, 2), w))", f"transform({ws}, w -> if(ascii(w) = 3, concat(char(1), substr(w, 2)), w))"
+    return f"if(exists({ws}, w -> ascii(w) = 3), array({plain}, {name}), array({plain}))"
+
+
 def windows(rows: DataFrame, words: int) -> DataFrame:
-    """The columns of rows but `ws`, then key and pos of every template window."""
-    at = [f"hs[p + {k}]" for k in range(words)]
-    full = rows.withColumn("hs", F.expr(f"transform(ws, w -> {_template('w')})"))
-    return full.select(*[c for c in rows.columns if c != "ws"], F.expr(f"inline(if(size(hs) >= {words}, transform(sequence(0, size(hs) - {words}), p -> named_struct('key', xxhash64({', '.join(at)}), 'pos', p)), array()))"))
+    """The columns of rows but `ws`, then key and pos of every template window; windows with words that may be names stand in both readings."""
+    at, named = ([f"{hs}[p + {k}]" for k in range(words)] for hs in ("hs", "ns"))
+    full = rows.withColumn("hs", F.expr(f"transform(ws, w -> {_template('w')})")).withColumn("ns", F.expr(f"transform(hs, (h, i) -> if(ascii(ws[i]) = 3, {hash_of('name')}, h))"))
+    of = lambda keys, places: f"transform({places}, p -> named_struct('key', xxhash64({', '.join(keys)}), 'pos', p))"
+    every = f"sequence(0, size(hs) - {words})"
+    maybe = "filter(sequence(0, size(hs) - 1), i -> hs[i] <> ns[i])"
+    twofold = f"array_distinct(flatten(transform({maybe}, i -> if(i >= {words} and i <= size(hs) - {words}, sequence(i - {words - 1}, i), filter(sequence(i - {words - 1}, i), p -> p >= 0 and p <= size(hs) - {words})))))"
+    return full.select(*[c for c in rows.columns if c != "ws"], F.expr(f"inline(if(size(hs) >= {words}, concat({of(at, every)}, {of(named, twofold)}), array()))"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = WORDS, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, item_id, item_windows, matched, exact (all slots equal) for each contaminated pair; and the row key th."""
-    items = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("t")).where("t is not null").distinct().withColumn("it", F.xxhash64("t")).withColumn("ws", typed_words(F.col("t"))).where("size(ws) > 0").drop("t")
+    items = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("t")).where("t is not null").distinct().withColumn("ws", typed_words(F.col("t"))).where("size(ws) > 0")
+    # the lowest bit of `it` tells the forms of a text apart
+    items = items.select("item", "t", F.expr(f"posexplode({forms('ws')}) as (form, ws)")).select("item", F.expr("shiftleft(xxhash64(t), 1) | form").alias("it"), "ws")
     plain = f"size(filter(slice(ws, pos + 1, {words}), w -> not {is_slot('w')})) >= {LITERALS}"
     iw = windows(items.withColumn("own", F.col("ws")), words).withColumnRenamed("own", "ws")
     iw = iw.withColumn("plain", F.expr(plain)).withColumn("any", F.expr("max(plain) over (partition by item, it)")).where("plain or not any")
@@ -80,7 +97,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     n_own = own.count()
     ws = join_keyed(source, own, ["id", "th"], "left_semi", rows=n_own).dropDuplicates(["id", "th"])
     placed = join_keyed(hits.join(candidates, ["id", "th"]), index.drop("total"), ["item", "it", "key"], "inner", rows=n_rows)
-    matched = placed.join(ws, ["id", "th"]).select("id", "th", "item", "it", "total", "key", "pos", "dp", "iw", F.slice("ws", F.col("dp") + 1, F.lit(words)).alias("dw"))
+    matched = placed.join(ws, ["id", "th"]).select("id", "th", "item", "it", "total", "key", "pos", "dp", "iw", F.transform(F.slice("ws", F.col("dp") + 1, F.lit(words)), lambda w: F.translate(w, MAYBE_MARK, NAME_MARK)).alias("dw"))
     slots = matched.selectExpr("id", "th", "item", "it", "key", "pos", "dp", f"inline(filter(transform(iw, (w, k) -> named_struct('a', w, 'b', dw[k])), x -> {is_slot('x.a')}))")
     group = ["id", "th", "item", "it"]
     # of several places of a window, the one that agrees with the most others decides: places are told apart by their shift
@@ -90,7 +107,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     two = slots.groupBy(*group, "shift", "b").agg((F.min("a") != F.max("a")).alias("bad")).where("bad").select(*group, "shift", "b")
     bad = slots.join(one, [*group, "shift", "a"], "left_semi").select(*group, "shift", "key", "pos").union(slots.join(two, [*group, "shift", "b"], "left_semi").select(*group, "shift", "key", "pos")).distinct()
     good = matched.withColumn("shift", shift).join(bad, [*group, "shift", "key", "pos"], "left_anti")
-    result = good.groupBy(*group).agg(F.count_distinct("key").alias("matched"), F.max("total").cast("long").alias("item_windows"), F.min(F.expr("iw = dw")).alias("exact")).where(f"matched >= {containment} * item_windows")
+    result = good.groupBy(*group).agg(F.count_distinct("key").alias("matched"), F.max("total").cast("long").alias("item_windows"), F.min(F.expr("translate(array_join(iw, ' '), char(1), '') = translate(array_join(dw, ' '), char(1), '')")).alias("exact")).where(f"matched >= {containment} * item_windows")
+    best = F.max(F.struct(F.expr("matched / item_windows").alias("share"), "exact", F.expr("1 - (it & 1)").alias("plain"), "item_windows", "matched")).alias("best")
+    result = result.groupBy("id", "th", "item", F.expr("shiftright(it, 1)")).agg(best).select("id", "th", "item", "best.*")
     return result.select(F.when(F.col("id") != LAST_ID, F.col("id")).alias("doc_id"), F.col("item").alias("item_id"), "item_windows", "matched", "exact", F.col("id").alias("_id"), F.col("th").alias("_th"))
 
 
