@@ -278,6 +278,8 @@ def decode(data: bytes, dictionary: Image | None = None, is_image: bool = True)
     for _ in range(RECORDS):
         if codec.record(is_image) == END or codec.coder.over:
             break
+    else:
+        raise Broken("records")
     if not codec.started:
         raise Broken("no start")
     return codec.image

@@ -190,3 +190,14 @@ def test_runs_and_packing():
 
 def test_median():
     assert [jb2.median3(*x) for x in ((1, 2, 3), (3, 1, 2), (2, 2, 1), (5, 5, 5))] == [2, 2, 2, 5]
+
+
+def test_jb2_beyond_the_bound_of_records(monkeypatch):
+    """A stream cut by the bound is broken, not a partial image."""
+    data = jb2.encode(100, 60, [(np.ones((3, 3), np.uint8), x, 5) for x in range(0, 40, 4)])
+    records = sum(jb2.decode(data).histogram)
+    monkeypatch.setattr(jb2, "RECORDS", records)
+    assert len(jb2.decode(data).blits) == 10
+    monkeypatch.setattr(jb2, "RECORDS", records - 1)
+    with pytest.raises(jb2.Broken):
+        jb2.decode(data)
