@@ -32,8 +32,10 @@ NAME = r"([^.!?\s\x01] )(\p{Lu}\p{Ll})"
 UNIT = rf"([0-9]) ?({'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})\b"
 #: Capitalised words that NAME leaves.
 MAYBE = r"(?=\p{Lu}\p{Ll})(?<![\p{L}\p{N}\x01])"
-#: Points and commas between digits stay in the number.
-GAP = r"[^\p{L}\p{N}\x01\x02\x03.,]+|[.,](?:(?![0-9])|(?<![0-9][.,]))"
+#: What the SQL splits at: it has neither numbers with separators nor MAYBE.
+GAP = r"[^\p{L}\p{N}\x01\x02]+"
+#: What the operator splits at: points and commas between digits stay in the number.
+SPLIT = r"[^\p{L}\p{N}\x01\x02\x03.,]+|[.,](?:(?![0-9])|(?<![0-9][.,]))"
 NAME_MARK, UNIT_MARK, MAYBE_MARK = "\x01", "\x02", "\x03"
 #: What placeholders hash to, in place of a word.
 SLOTS = {"number": "<number>", "name": "<name>", "unit": "<unit>"}
@@ -42,7 +44,7 @@ SLOTS = {"number": "<number>", "name": "<name>", "unit": "<unit>"}
 def typed_words(text: Column) -> Column:
     """The words, each slot marked by its first character: a digit, or a mark; words that may be names are marked too."""
     marked = F.lower(F.regexp_replace(F.regexp_replace(text, NAME, rf"$1{NAME_MARK}$2"), MAYBE, MAYBE_MARK))
-    return F.filter(F.split(F.regexp_replace(marked, UNIT, rf"$1 {UNIT_MARK}$2"), GAP), lambda w: w != "")
+    return F.filter(F.split(F.regexp_replace(marked, UNIT, rf"$1 {UNIT_MARK}$2"), SPLIT), lambda w: w != "")
 
 
 def _template(w: str) -> str:
