@@ -249,18 +249,6 @@ def test_decontamination(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [12, 13, 14, 15, 16, 19, 20]
 
 
-def test_decontamination_slots(spark):
-    """Names that begin sentences and lines, also such as never stand inside one, and numbers with separators are slots."""
-    names = "Alice has 3 apples. Bob gives Alice 2 more. How many apples does Alice have in total?"
-    numbers = "A car costs 1,250 dollars and a bike costs 90 dollars so how much more is the car then by itself"
-    decimals = "the old tank holds 3.5 litres of water and it loses 0.25 of that each day until it is empty"
-    bench = spark.createDataFrame([(1, names), (2, numbers), (3, decimals)], "item_id long, text string")
-    other = names.replace("Alice", "Carol").replace("Bob", "Dave").replace("3", "7").replace("2", "5")
-    data = [(1, other), (2, f"Now then.\n{other.replace('. ', '.' + chr(10))}"), (3, f"Question: {other}"), (4, other.replace("does Carol", "does Dave").replace("gives Carol", "gives Erin")), (5, numbers.replace("1,250", "980").replace("90", "70")), (6, decimals.replace("3.5", "12").replace("0.25", "1,000.5")), (7, names), (8, numbers), (9, decimals.replace("3.5", "35"))]
-    got = {(r.doc_id, r.item_id): r.exact for r in decontaminate.contaminated(spark.createDataFrame(data, "doc_id long, text string"), bench).collect()}
-    assert got == {(1, 1): False, (2, 1): False, (3, 1): False, (5, 2): False, (6, 3): False, (7, 1): True, (8, 2): True, (9, 3): False}
-
-
 @pytest.mark.parametrize("make", [ngram_join.ngram_components, ngram_join.keep_one, substring.substring_dedup, rindex.suffix_dedup, lines.line_dedup, media.media_columns, licenses.license_scan])
 def test_empty_table(spark, make):
     assert make(B.frame(spark, [])).collect() == []
