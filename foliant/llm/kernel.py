@@ -136,14 +136,14 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - size)], x[w - size :]) if w > size else x
 
 
-def anchored_runs(prefix: Prefix, offsets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
+def anchored_runs(prefix: Prefix, offsets: np.ndarray, length: int, k: int, content: Prefix | None = None) -> tuple[np.ndarray, ...]:
     """Cut all windows of `length` symbols of the rows into runs that share an anchor.
 
     The anchor of a window is the k-gram in it with the least hash (leftmost among equals), a
     function of the window's content alone, so equal windows have equal anchors wherever they
     are. Neighbouring windows with the same anchor form a run. Returns for each run the row, the
     first window's start in the row, the number of windows, the anchor's hash, and a hash of all
-    symbols that the run covers.
+    symbols that the run covers (from the sums `content`, if given, so that it is independent of the anchor's).
     """
     none = np.zeros(0, np.int64)
     n = int(offsets[-1])
@@ -166,7 +166,7 @@ def anchored_runs(prefix: Prefix, offsets: np.ndarray, length: int, k: int) -> t
     tail[:-1] &= head[1:] | ~valid[1:]
     first, last = np.flatnonzero(head), np.flatnonzero(tail)
     row = np.searchsorted(offsets, first, "right") - 1
-    sig = mix(prefix.span(first, last + length) + (last - first).astype(U))
+    sig = mix((content or prefix).span(first, last + length) + (last - first).astype(U))
     return row, first - offsets[row], last - first + 1, grams[at[first]], sig
 
 

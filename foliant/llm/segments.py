@@ -2,38 +2,45 @@
 operators share.
 
 Windows of `length` symbols are cut into runs that share an anchor (kernel.anchored_runs). Equal
-windows have equal anchors, so a run whose anchor occurs once in the corpus holds no repeated
-window and is dropped at the scan, by a fixed-size sketch of repeated anchors. Runs equal in
-anchor and content form a class; a class is settled as a whole. Only where one anchor has several
-classes are single windows looked at, and only in one representative of each class.
+windows have equal anchors, so all occurrences of a window meet where the runs of its anchor meet:
+one shuffle by anchor. Runs equal in anchor and content (128 bits) are one stretch of text, so
+only one of them is looked at any further. An anchor with one stretch is done: either it occurs
+once, or its copies repeat as a whole. Where one anchor has several stretches, their texts go to
+a block, in which an index of the operator's own kind says which windows they share.
+
+An anchor in ever other surroundings, as a common line has, would gather a stretch from every
+document. Such crowded anchors are found beforehand by counts in a table of fixed size (SLOTS),
+over all texts; their runs are cut anew by a longer anchor, and by the whole window where that is
+crowded too. Then a key is the window itself and has one stretch, so no group is left that grows
+with the input, but as a slot's share does. The threshold is relative to the mean count of a slot:
+the table cannot fill up, and the same plan runs at every size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import LAST_ID, batch, cut, in_sketch, lean, repeated_keys, sketch
+from .shared import LAST_ID, batch, lean
 
 #: data, offsets -> (symbols, the rows' offsets in them)
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
-#: Runs of one anchor from which it counts as crowded.
-CROWD = 1000
+#: Stretches of one anchor from which it may count as crowded, and how many times the mean of a slot.
+CROWD, TIMES = 1000, 4
+#: Slots in which anchors are counted, and in how many parts they travel.
+SLOTS, PARTS = 1 << 20, 64
+#: Bytes of stretches from which a block is judged.
+BLOCK = 1 << 18
 
-RUNS = "id long, th long, s0 int, n int, anchor long, sig long"
-
-
-class Classes(NamedTuple):
-    runs: DataFrame  # id, th, s0, n, anchor, sig: every run with a repeated anchor
-    classes: DataFrame  # anchor, sig, k (members), n, first: struct(id, th, s0)
-    shared: DataFrame  # anchor: those with several classes
+SURE, MULTI = 1, 2
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -41,98 +48,197 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
 
 
-def _count(source: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """key and n of the hashes that `of` finds in the texts, summed up in each task."""
-    keys = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+def _slot(anchor: np.ndarray) -> np.ndarray:
+    return (anchor >> np.uint64(64 - (SLOTS - 1).bit_length())).astype(np.int64)
 
-    def run(batches):
-        held, size = [], 0
 
-        def out():
-            u, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            for i in range(0, len(u), 1 << 16):
-                yield batch(keys, K.signed(u[i : i + (1 << 16)]), n[i : i + (1 << 16)])
+class Cutter(NamedTuple):
+    """Cuts texts into runs: by anchors of anchors[0] symbols, where those are crowded by anchors[1], and so on."""
 
-        for b in batches:
-            for _, _, data, offsets in K.chunks(b.column("text")):
-                held.append(of(data, offsets))
-                size += len(held[-1])
-                if size > 1_000_000:
-                    yield from out()
-                    size = 0
-        if held:
-            yield from out()
+    symbols: Symbols
+    length: int
+    anchors: tuple[int, ...]
+    crowded: tuple[Broadcast, ...]  # a bit for each slot, for each but the last of the anchors
+
+    def levels(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """For each kind of anchor in use: row, s0, n, anchor, sig, and whether the anchor is crowded."""
+        text, at = self.symbols(data, offsets)
+        rows, base = np.arange(len(at) - 1), np.zeros(len(at) - 1, np.int64)
+        for level, k in enumerate(self.anchors):
+            row, s0, n, anchor, sig = K.anchored_runs(K.Prefix(text), at, self.length, k, K.Prefix(text, second=True))
+            slot = _slot(anchor)
+            many = (self.crowded[level].value[slot >> 3] >> (slot & 7) & 1).astype(bool) if level < len(self.crowded) else np.zeros(len(row), bool)
+            yield rows[row], base[row] + s0, n, anchor, sig, many
+            if not many.any():
+                return
+            rows, base, size = rows[row[many]], base[row[many]] + s0[many], n[many] + self.length - 1
+            new = np.concatenate([[0], np.cumsum(size)])
+            text = text[np.repeat(at[row[many]] + s0[many] - new[:-1], size) + np.arange(new[-1])]
+            at = new
+
+    def runs(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """row, s0, n, anchor, sig in the order of the texts."""
+        parts = [[x[~many] for x in run] for *run, many in self.levels(data, offsets)]
+        cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        order = np.lexsort((cols[1], cols[0]))
+        return tuple(x[order] for x in cols)
 
-    return source.select("text").mapInArrow(lean(run), "key long, n long")
 
+def _crowds(source: DataFrame, cutter: Cutter) -> np.ndarray:
+    """A bit for each slot in which anchors of the cutter's last kind are crowded.
 
-def _again(symbols: np.ndarray, offsets: np.ndarray, runs: tuple, chosen: np.ndarray, length: int, k: int) -> tuple:
-    """The chosen runs cut anew by a longer anchor: row, s0, n, anchor, sig."""
-    row, s0, n = (x[chosen] for x in runs[:3])
-    size = n + length - 1
-    at = np.concatenate([[0], np.cumsum(size)])
-    own = symbols[np.repeat(offsets[row] + s0 - at[:-1], size) + np.arange(at[-1])]
-    sub, first, k_, anchor, sig = K.anchored_runs(K.Prefix(own), at, length, k)
-    return row[sub], s0[sub] + first, k_, anchor, sig
+    Each batch counts its different stretches (so copies don't make a crowd), each task sends its
+    sums of fixed size, and the driver gets the total, 8 MB at any input size.
+    """
+    level = len(cutter.crowded)
+    part = SLOTS // PARTS
 
+    def count(batches):
+        sums = np.zeros(SLOTS, np.int32)
+        for b in batches:
+            own = []
+            for _, _, data, offsets in K.chunks(b.column("text")):
+                for k, (_, _, _, anchor, sig, _) in enumerate(cutter.levels(data, offsets)):
+                    if k == level:
+                        own.append(np.stack([anchor, sig]))
+            if own:
+                anchor, sig = np.concatenate(own, 1)
+                _, first = np.unique(anchor ^ K.mix(sig), return_index=True)
+                sums += np.bincount(_slot(anchor[first]), minlength=SLOTS).astype(np.int32)
+        for p in range(PARTS):
+            x = sums[p * part : (p + 1) * part]
+            if x.any():  # bytes of one weight together, as most counts are small
+                yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "data": [x.view(np.uint8).reshape(-1, 4).T.tobytes()]})
+
+    def total(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for p, x in zip(b.column("part").to_pylist(), b.column("data"), strict=True):
+                own = np.ascontiguousarray(np.frombuffer(x.as_py(), np.uint8).reshape(4, -1).T).view(np.int32)[:, 0]
+                sums[p] = sums.get(p, 0) + own.astype(np.int64)
+        for p, x in sums.items():
+            yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "data": [x.tobytes()]})
 
-class Finder(NamedTuple):
-    """Broadcast sketches that say which runs may be repeated; `runs` gives those of one chunk."""
+    schema = "part int, data binary"
+    counts = np.zeros((PARTS, part), np.int64)
+    for p, x in source.select("text").mapInArrow(lean(count), schema).repartition("part").mapInArrow(lean(total), schema).toLocalIterator():
+        counts[p] = np.frombuffer(x, np.int64)
+    counts = counts.ravel()
+    return np.packbits(counts > max(CROWD, TIMES * counts.sum() // SLOTS), bitorder="little")
 
-    symbols: Symbols
-    length: int
-    k: int
-    long_k: int
-    repeated: Broadcast
-    crowded: Broadcast
-    far: Broadcast
 
-    def runs(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-        """row, s0, n, anchor, sig."""
-        own, at = self.symbols(data, offsets)
-        runs = K.anchored_runs(K.Prefix(own), at, self.length, self.k)
-        many = in_sketch(self.crowded.value, runs[3])
-        ok = in_sketch(self.repeated.value, runs[3]) & ~many
-        parts = [tuple(x[ok] for x in runs)]
-        if many.any():
-            again = _again(own, at, runs, many, self.length, self.long_k)
-            parts.append(tuple(x[in_sketch(self.far.value, again[3])] for x in again))
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+def cutter(source: DataFrame, symbols: Symbols, length: int, anchors: tuple[int, ...]) -> Cutter:
+    """anchors: lengths of the anchors in turn; the window itself comes last."""
+    out = Cutter(symbols, length, (*anchors, length), ())
+    for _ in anchors:
+        bits = _crowds(source, out)
+        out = out._replace(crowded=(*out.crowded, source.sparkSession.sparkContext.broadcast(bits)))
+        if not bits.any():
+            break
+    return out
+
+
+def _places(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (place >> 30).astype(np.int32), (place >> 2 & (1 << 28) - 1).astype(np.int32)
 
 
-def finder(source: DataFrame, symbols: Symbols, length: int, k: int, long_k: int, crowd: int | None = None) -> Finder:
-    """An anchor that more than `crowd` runs share, such as a common line in ever other surroundings, is crowded: its runs are cut anew by a
-    longer anchor, and of those again only repeated ones are kept. So no later group is as large as the crowd, save of equal contents, which are one class."""
-    broadcast = source.sparkSession.sparkContext.broadcast
-    few = cut(repeated_keys(_count(source, lambda data, offsets: K.anchored_runs(K.Prefix((s := symbols(data, offsets))[0]), s[1], length, k)[3])))
-    repeated, crowded = broadcast(sketch(few.select("key"))), broadcast(sketch(few.where(F.col("n") > (crowd or CROWD)).select("key")))
+def _classes(key: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted rows: where classes of one key and content begin, and the first row of each row's class."""
+    head = np.ones(len(key), bool)
+    head[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])
+    return head, np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
 
-    def crowded_anchors(data, offsets):
-        own, at = symbols(data, offsets)
-        runs = K.anchored_runs(K.Prefix(own), at, length, k)
-        return _again(own, at, runs, in_sketch(crowded.value, runs[3]), length, long_k)[3]
 
-    far = broadcast(sketch(repeated_keys(_count(source, crowded_anchors)).select("key")) if crowded.value.any() else np.zeros_like(crowded.value))
-    return Finder(symbols, length, k, long_k, repeated, crowded, far)
+def settle(source: DataFrame, cut_by: Cutter, all_go: bool) -> DataFrame:
+    """id, th, s0, n, block, ref, ref_s0: runs that repeat (block null, with one occurrence that is their reference), and stretches that a block must judge (ref is 1 if they repeat anyway).
 
+    all_go: of stretches that occur several times all repeat; else all but the earliest. One
+    shuffle: of equal stretches in a batch only the earliest goes to its anchor; the others are
+    sure to repeat, are joined with their neighbours and dealt out evenly.
+    """
+    found = pa.schema([(x, pa.int64()) for x in ("key", "sig", "id", "th", "place")])
 
-def find_classes(source: DataFrame, find_runs: Finder) -> Classes:
-    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("s0", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("sig", pa.int64())])
+    def first_of(sig_at, ids, ths, place):
+        return (ids == ids[sig_at]) & (ths == ths[sig_at]) & (place >> 2 == place[sig_at] >> 2)
 
     def find(batches):
         for b in batches:
             ids, ths = b.column("id").to_numpy(), b.column("th").to_numpy()
+            parts = []
             for i, _, data, offsets in K.chunks(b.column("text")):
-                row, s0, n, anchor, sig = find_runs.runs(data, offsets)
-                if len(row):
-                    row = row + i
-                    yield batch(schema, ids[row], ths[row], s0.astype(np.int32), n.astype(np.int32), K.signed(anchor), K.signed(sig))
+                row, s0, n, key, sig = cut_by.runs(data, offsets)
+                parts.append((row + i, s0, n, K.signed(key), K.signed(sig)))
+            row, s0, n, key, sig = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 5
+            if not len(row):
+                continue
+            own, th, place = ids[row], ths[row], s0 << 30 | n << 2
+            order = np.lexsort((place, th, own, sig, key))
+            head, at = _classes(key[order], sig[order])
+            size = np.diff(np.append(np.flatnonzero(head), len(order)))
+            first = head if all_go else first_of(at, own[order], th[order], place[order])
+            sure, ref = np.zeros(len(row), bool), np.zeros(len(row), np.int64)
+            sure[order], ref[order] = ~first, order[at]
+            if all_go:
+                place[order[head]] |= np.where(size > 1, MULTI, 0)
+            keep = np.flatnonzero(~sure)
+            gone = np.flatnonzero(sure)
+            # neighbouring windows that repeat one stretch are one row
+            new = np.ones(len(gone), bool)
+            a, c = gone[1:], gone[:-1]
+            new[1:] = (row[a] != row[c]) | (s0[a] != s0[c] + n[c]) | (s0[a] >> 27 != s0[c] >> 27)
+            if all_go:
+                new[1:] |= (row[ref[a]] != row[ref[c]]) | (s0[ref[a]] - s0[a] != s0[ref[c]] - s0[c])
+            heads = np.flatnonzero(new)
+            total = np.add.reduceat(n[gone], heads) if len(gone) else n[:0]
+            gone = gone[heads]
+            spread = K.signed(K.mix(own[gone].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + s0[gone].astype(np.uint64)) << np.uint64(31) | s0[ref[gone]].astype(np.uint64))
+            cols = (
+                np.concatenate([key[keep], spread]),
+                np.concatenate([sig[keep], own[ref[gone]]]),
+                np.concatenate([own[keep], own[gone]]),
+                np.concatenate([th[keep], th[gone]]),
+                np.concatenate([place[keep], s0[gone] << 30 | total << 2 | SURE]),
+            )
+            for i in range(0, len(cols[0]), 1 << 16):
+                yield batch(found, *(x[i : i + (1 << 16)] for x in cols))
+
+    out = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("s0", pa.int32()), ("n", pa.int32()), ("block", pa.int64()), ("ref", pa.int64()), ("ref_s0", pa.int32())])
+
+    def rows(key, sig, ids, ths, place):
+        yes = place & SURE > 0
+        s0, n = _places(place)
+        yield batch(out, ids[yes], ths[yes], s0[yes], n[yes], pa.nulls(int(yes.sum()), pa.int64()), sig[yes], (key[yes] & (1 << 31) - 1).astype(np.int32))
+        key, sig, ids, ths, place, s0, n = (x[~yes] for x in (key, sig, ids, ths, place, s0, n))
+        if not len(key):
+            return
+        head, at = _classes(key, sig)
+        heads = np.flatnonzero(head)
+        group = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
+        kinds = np.bincount(group[heads])[group]
+        if all_go:
+            members = np.diff(np.append(heads, len(key))) + (np.add.reduceat(place & MULTI, heads) > 0)
+            gone = members[np.cumsum(head) - 1] > 1
+        else:
+            gone = ~first_of(at, ids, ths, place)
+        yield batch(out, ids[gone], ths[gone], s0[gone], n[gone], pa.nulls(int(gone.sum()), pa.int64()), ids[at[gone]], s0[at[gone]])
+        to = head & (kinds > 1)
+        yield batch(out, ids[to], ths[to], s0[to], n[to], key[to], gone[to].astype(np.int64), np.zeros(int(to.sum()), np.int32))
+
+    def resolve(batches):
+        held: list[np.ndarray] | None = None
+        for b in batches:
+            new = [b.column(x).to_numpy() for x in found.names]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            change = np.flatnonzero(held[0][1:] != held[0][:-1])
+            if len(change):  # an anchor's rows are taken together
+                end = int(change[-1]) + 1
+                yield from rows(*(x[:end] for x in held))
+                held = [x[end:] for x in held]
+        if held is not None:
+            yield from rows(*held)
 
-    found = cut(source.mapInArrow(lean(find), RUNS))
-    classes = cut(found.groupBy("anchor", "sig").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.min(F.struct("id", "th", "s0")).alias("first")))
-    shared = cut(classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1"))
-    return Classes(found, classes, shared)
+    dealt = source.mapInArrow(lean(find), "key long, sig long, id long, th long, place long").repartition("key").sortWithinPartitions("key", "sig", "id", "th", "place")
+    return dealt.mapInArrow(lean(resolve), "id long, th long, s0 int, n int, block long, ref long, ref_s0 int")
 
 
 def by_document(spans: DataFrame, value: str) -> DataFrame:
@@ -143,3 +249,131 @@ def by_document(spans: DataFrame, value: str) -> DataFrame:
 def beside(source: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     """Bring per-document arrays to the texts, on the row key. Always by a shuffle: the arrays grow with the corpus, and so the plan is the same at every size."""
     return source.join(rows.hint("merge"), ["id", "th"], how)
+
+
+class Stretches(NamedTuple):
+    """A block's stretches, ordered by key and then place."""
+
+    key: np.ndarray
+    ids: np.ndarray
+    ths: np.ndarray
+    s0: np.ndarray
+    known: np.ndarray  # they repeat anyway
+    text: list[bytes]
+
+
+#: (which, first window in it, windows, reference's id, its first window) of repeats that a block finds
+Judge = Callable[[Stretches], tuple[np.ndarray, ...]]
+
+
+def judged(source: DataFrame, settled: DataFrame, bounds: Callable[..., tuple[np.ndarray, np.ndarray]], judge: Judge) -> DataFrame:
+    """id, th, s0, n, ref, ref_s0 of the windows that the blocks of `settled` find to repeat.
+
+    bounds: data, offsets, row, s0, n -> first and end byte of a stretch. Blocks of whole keys are
+    filled up to BLOCK bytes and judged at once.
+    """
+    open_ = settled.where("block is not null").select("id", "th", F.struct("s0", "n", "block", "ref").alias("segment"))
+    pieces = pa.schema([("block", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("s0", pa.int32()), ("known", pa.bool_()), ("bytes", pa.binary())])
+
+    def slices(batches):
+        for b in batches:
+            ids, ths = b.column("id").to_numpy(), b.column("th").to_numpy()
+            own = b.column("segment")
+            flat, counts = own.flatten(), pa.compute.list_value_length(own).to_numpy()
+            s0, n, key, ref = (flat.field(x).to_numpy() for x in ("s0", "n", "block", "ref"))
+            edges = np.concatenate([[0], np.cumsum(counts)])
+            for i, j, data, offsets in K.chunks(b.column("text")):
+                x = slice(edges[i], edges[j])
+                row = np.repeat(np.arange(i, j), counts[i:j])
+                begin, end = bounds(data, offsets, row - i, s0[x].astype(np.int64), n[x].astype(np.int64))
+                raw = data.tobytes()
+                yield batch(pieces, key[x], ids[row], ths[row], s0[x], pa.array(ref[x] > 0), [raw[p:q] for p, q in zip(begin.tolist(), end.tolist(), strict=True)])
+
+    found = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("s0", pa.int32()), ("n", pa.int32()), ("ref", pa.int64()), ("ref_s0", pa.int32())])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def flush(rows: pa.Table):
+            cols = [rows.column(c).to_numpy() for c in ("block", "id", "th", "s0", "known")]
+            order = np.lexsort((cols[3], cols[2], cols[1], cols[0]))
+            new = np.ones(len(order), bool)  # rows that are one document bring a stretch several times
+            new[1:] = np.any([x[order][1:] != x[order][:-1] for x in cols[:4]], axis=0)
+            order = order[new]
+            cols = [x[order] for x in cols]
+            text = rows.column("bytes").to_pylist()
+            which, first, n, ref, ref_s0 = judge(Stretches(*cols, [text[i] for i in order.tolist()]))
+            yield batch(found, cols[1][which], cols[2][which], (cols[3][which] + first).astype(np.int32), n.astype(np.int32), ref, ref_s0.astype(np.int32))
+
+        for b in batches:
+            for i in range(0, b.num_rows, 1024):
+                held.append(b.slice(i, 1024))
+                size += held[-1].column("bytes").nbytes
+                if size < BLOCK:
+                    continue
+                rows = pa.Table.from_batches(held)
+                key = rows.column("block").to_numpy()
+                end = int(np.searchsorted(key, key[-1]))  # keys are sorted; the last may go on
+                if end:
+                    yield from flush(rows.slice(0, end))
+                    held = rows.slice(end).to_batches()
+                    size = sum(x.column("bytes").nbytes for x in held)
+        if held:
+            yield from flush(pa.Table.from_batches(held))
+
+    cols = "block long, id long, th long, s0 int, known boolean, bytes binary"
+    texts = beside(source, by_document(open_, "segment"), "inner").select("id", "th", "text", "segment")
+    dealt = texts.mapInArrow(lean(slices), cols).repartition("block").sortWithinPartitions("block")
+    return dealt.mapInArrow(lean(run), "id long, th long, s0 int, n int, ref long, ref_s0 int")
+
+
+def suffix_array(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Suffixes of a text of pieces, by prefix doubling: symbols from 0 up, and at `ends` separators (each ranks by its place, below all symbols)."""
+    n = len(text)
+    bits = max(int(text.max(initial=0)) + 2, 2).bit_length()
+    span = max(1, min(63 // bits, n))
+    wide = np.zeros(n + span, np.int64)
+    wide[:n] = text + 1
+    wide[ends] = 0
+    gap = np.zeros(n, np.int64)
+    gap[ends] = 1
+    to_end = np.append(ends, n)[np.cumsum(gap) - gap] - np.arange(n)
+    key = np.zeros(n, np.int64)
+    for i in range(span):
+        key = key << bits | np.where(i < to_end, wide[i : i + n], 0)
+    near = np.where(to_end < span, np.arange(n) + to_end + 1, 0)  # a separator within the first symbols decides ties
+    order = np.lexsort((near, key))
+    new = np.ones(n, np.int64)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (near[order][1:] != near[order][:-1])
+    rank = np.zeros(n, np.int64)
+    rank[order] = np.cumsum(new)
+    while rank.max() < n:
+        second = np.zeros(n, np.int64)
+        second[: max(n - span, 0)] = rank[span:] if span < n else 0
+        both = rank * (n + 1) + second
+        order = np.argsort(both, kind="stable")
+        new = np.ones(n, np.int64)
+        new[1:] = both[order][1:] != both[order][:-1]
+        rank[order] = np.cumsum(new)
+        span *= 2
+    return order
+
+
+def gathered(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, separator: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The chosen stretches of symbols one after the other, each followed by a separator; their new starts and ends."""
+    size = ends - starts
+    to = np.cumsum(size + 1) - 1
+    out = np.full(int(to[-1]) + 1 if len(to) else 0, separator, symbols.dtype)
+    begin = to - size
+    where = np.arange(int(size.sum()))
+    shift = np.repeat(np.cumsum(size) - size, size)
+    out[where - shift + np.repeat(begin, size)] = symbols[where - shift + np.repeat(starts, size)]
+    return out, begin, to
+
+
+def ranks(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted groups: each member's number in its group, and the group's size."""
+    heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else group[:0]
+    size = np.diff(np.append(heads, len(group)))
+    return np.arange(len(group)) - np.repeat(heads, size), np.repeat(size, size)

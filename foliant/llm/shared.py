@@ -1,10 +1,11 @@
-"""Spark plumbing that several operators share: durable cuts, a fixed-size sketch of repeated
-keys, joins that broadcast behind a size check, and connected components."""
+"""Spark plumbing that several operators share: durable cuts, a fixed-size table of key levels,
+joins that broadcast behind a size check, and connected components."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import sys
 import tempfile
 import uuid
@@ -15,10 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a keyed side may be broadcast; a fixed bound, checked by a count.
-BROADCAST_ROWS = 400_000
-#: Bits of the sketch of repeated keys: 16 MB at every input size.
-SKETCH_BITS = 27
+#: Rows, and bytes as written, up to which a keyed side may be broadcast; fixed bounds, checked.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 32 << 20
+#: Bits of the table of key levels: 16 MB at every input size.
 LEVEL_BITS = 24
 LAST_ID = (1 << 63) - 1
 
@@ -27,23 +27,39 @@ _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or the context's checkpoint folder; a temporary one of this process only where both are unset, as in tests."""
+    """The folder of spark.checkpoint.dir, or the context's checkpoint folder. Where both are unset, a session in one process, as in tests, gets a temporary one; on a cluster that is an error, as executors don't share local folders."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[0-9*, ]+\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own_folder:
             _own_folder.append(tempfile.mkdtemp(prefix="foliant-"))
         folder = _own_folder[0]
     return folder.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends there, and a lost executor loses nothing. The files go when the driver ends."""
+    """Write a frame to the shared folder and read it back: lineage ends there, and a lost executor loses nothing. The files go by `discard`, or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/foliant-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    system, place = _file_system(spark, path)
+    system.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of frames that `cut` gave, once nothing that is still to run reads them."""
+    for df in frames:
+        system, place = _file_system(df.sparkSession, df.written_to)
+        system.delete(place, True)
 
 
 def packed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -93,21 +109,8 @@ def repeated_keys(keys: DataFrame) -> DataFrame:
     return keys.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
 
 
-def sketch(keys: DataFrame) -> np.ndarray:
-    """A bitmap of 2**SKETCH_BITS bits, whatever the input, in which the slot of each key is set.
-
-    Other keys may share a slot, so users must treat a set bit as "perhaps"; a clear bit is certain.
-    """
-    return _slots(keys.select(F.shiftrightunsigned("key", 64 - SKETCH_BITS).alias("slot"), F.lit(1).alias("level")), SKETCH_BITS, 1 << 17, 1)
-
-
-def in_sketch(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)
-    return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (slot & np.uint64(7))).astype(np.uint8)) & 1 > 0
-
-
 def level_sketch(keys: DataFrame) -> np.ndarray:
-    """Like a sketch of the repeated keys, with a byte for each of 2**LEVEL_BITS slots: 0 if no repeated key is there, else it rises with the logarithm of the greatest count."""
+    """A fixed-size table with a byte for each of 2**LEVEL_BITS slots: 0 if no repeated key is there, else it rises with the logarithm of the greatest count."""
     level = F.least(F.lit(255), F.floor(F.log2("n") * 6)).cast("int")
     return _slots(repeated_keys(keys).select(F.shiftrightunsigned("key", 64 - LEVEL_BITS).alias("slot"), level.alias("level")), LEVEL_BITS, 1 << 16, 8)
 
@@ -117,9 +120,12 @@ def level_of(levels: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def join_keyed(big: DataFrame, keyed: DataFrame, on: list[str], how: str, rows: int | None = None) -> DataFrame:
-    """Join with a side that was cut to a file: broadcast if its counted rows are within the bound, else shuffled."""
-    n = keyed.count() if rows is None else rows
-    return big.join(F.broadcast(keyed) if n <= BROADCAST_ROWS else keyed, on, how)
+    """Join with a side that was cut to a file: broadcast if its counted rows and its written bytes are within the bounds, else shuffled."""
+    small = (keyed.count() if rows is None else rows) <= BROADCAST_ROWS
+    if small and hasattr(keyed, "written_to"):
+        system, place = _file_system(keyed.sparkSession, keyed.written_to)
+        small = system.getContentSummary(place).getLength() <= BROADCAST_BYTES
+    return big.join(F.broadcast(keyed) if small else keyed.hint("merge"), on, how)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -130,15 +136,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     round at most. Least labels are aggregates with partial minima, also for hubs.
     """
     edges = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
-    labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
+    before = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
+    labels = before
     for _ in range(rounds):
         beside = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("other"))
         hooked = labels.join(beside, "node").select("node", "label", F.least("label", "other").alias("new"))
         up = labels.select(F.col("node").alias("new"), F.col("label").alias("jump"))
         step = cut(hooked.join(up, "new", "left").select("node", "label", F.least("new", F.coalesce("jump", "new")).alias("new")))
         done = step.where("label <> new").isEmpty()
-        labels = step.select("node", F.col("new").alias("label"))
+        discard(before)
+        before, labels = step, step.select("node", F.col("new").alias("label"))
         if done:
+            discard(edges)
             return labels.withColumnRenamed("label", "component")
     raise RuntimeError("labels did not settle")
 

@@ -1,13 +1,15 @@
 """Substring dedup by relative Lempel-Ziv parsing, on words.
 
-The reference is every repeated stretch of the corpus, indexed in hash blocks by its 35-word
-windows (and by whole runs of windows where those repeat as a whole). Each document is factored
-greedily against all blocks: a factor starts at the first window that the index knows, and grows
-while the next window continues the same stretch of the same reference document; there it ends,
-and the windows across that boundary are looked up on their own, so nothing is missed between
-factors. All factors have at least WINDOW words, and every word of one is a duplicate.
+Texts are cut into stretches of 35-word windows that share an anchor; equal stretches are one,
+and repeat if they occur twice (see segments). Stretches around the same anchor in different
+surroundings come together in reference blocks: for each binary digit of their numbers, those
+with a 0 are indexed by a suffix array and those with a 1 are parsed against it, then the other
+way round, so every stretch is parsed against every other one. Parsing is greedy: the longest
+match at each place is a factor, and the next begins behind it. Factors of at least 35 words
+are duplicate spans, and the windows across a factor's boundary, which a greedy parse can miss,
+are looked up on their own. A document's factors are then joined where they continue each other.
 
-Results are exact up to 128 bits of hash (anchor and content; two lanes for single windows).
+Results are exact up to hashes: 128 bits for equal stretches, 64 bits in a block.
 
 Defined results: null text has no words; a text without words keeps the empty string. Rows equal
 in id and text count as one document, but still as occurrences of each other: all their windows
@@ -25,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .segments import beside, by_document, find_classes, finder, keyed
-from .shared import LAST_ID, batch, cut, join_keyed, lean
+from .segments import Stretches, beside, by_document, cutter, gathered, judged, keyed, ranks, settle, suffix_array
+from .shared import LAST_ID, batch, lean
 
 WINDOW = 35
 ANCHOR, LONG_ANCHOR = 10, 30
@@ -57,45 +59,112 @@ def parse(s0: np.ndarray, n: np.ndarray, ref: np.ndarray, ref_s0: np.ndarray, wi
     return [(a, k + window - 1, r, s) for a, k, r, s in factors]
 
 
+class Block:
+    """A reference block: stretches of words with a suffix array, for longest matches by binary search."""
+
+    def __init__(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        self.text, self.starts, self.ends = gathered(symbols, starts, ends, 0)
+        self.order = suffix_array(self.text, self.ends)
+        self.left = np.append(self.ends, len(self.text))[np.searchsorted(self.ends, np.arange(len(self.text)))] - np.arange(len(self.text))
+        self.sums = K.Prefix(K.mix(self.text.astype(np.uint64) + np.uint64(1)))
+
+    def common(self, other: K.Prefix, at: np.ndarray, most: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Words that the other text at `at` and the block at `place` have in common, up to `most`."""
+        most = np.minimum(most, self.left[place])
+        n = np.zeros(len(at), np.int64)
+        step = 1 << int(most.max(initial=1)).bit_length()
+        while step:
+            ok = np.flatnonzero(n + step <= most)
+            same = other.span(at[ok] + n[ok], at[ok] + n[ok] + step) == self.sums.span(place[ok] + n[ok], place[ok] + n[ok] + step)
+            n[ok[same]] += step
+            step >>= 1
+        return n
+
+    def longest(self, text: np.ndarray, sums: K.Prefix, at: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each place in another text: how many words from there, up to `most`, some place of the block has too, and that place."""
+        low, high = np.full(len(at), -1), np.full(len(at), len(self.order))
+        best, spot = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        for _ in range(int(len(self.order)).bit_length()):
+            middle = (low + high) >> 1
+            live = np.flatnonzero(high - low > 1)
+            place = self.order[middle[live]]
+            n = self.common(sums, at[live], most[live], place)
+            more = n > best[live]
+            best[live[more]], spot[live[more]] = n[more], place[more]
+            # behind the common words: the end of a stretch ranks below every word
+            own = np.where(n < most[live], text[np.minimum(at[live] + n, len(text) - 1)] + 1, 0)
+            theirs = np.where(n < self.left[place], self.text[np.minimum(place + n, len(self.text) - 1)] + 1, 0)
+            up = own > theirs
+            low[live[up]], high[live[~up]] = middle[live][up], middle[live][~up]
+        return best, spot
+
+
+def factor(block: Block, text: np.ndarray, sums: K.Prefix, starts: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Parse stretches of a text greedily against a block, and check the windows across the factors' boundaries.
+
+    Returns stretch, first window, windows, place in the block, of all windows that the block has.
+    """
+    at = starts.copy()
+    last = ends - window  # the last window's start
+    live = np.flatnonzero(at <= last)
+    found, across = [], []
+    while len(live):
+        n, spot = block.longest(text, sums, at[live], ends[live] - at[live])
+        long = n >= window
+        found.append((live[long], at[live][long], n[long] - window + 1, spot[long]))
+        # windows that start in the factor and end behind it
+        begin = np.maximum(at[live] + 1, at[live] + n - window + 1)
+        to = np.minimum(at[live] + n, last[live] + 1)
+        size = np.maximum(to - begin, 0)
+        across.append((np.repeat(live, size), np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())))
+        at[live] += np.maximum(n, 1)
+        live = live[at[live] <= last[live]]
+    which, place = (np.concatenate(x) for x in zip(*across, strict=True)) if across else (starts[:0], starts[:0])
+    if len(which):
+        n, spot = block.longest(text, sums, place, np.full(len(place), window))
+        hit = n >= window
+        found.append((which[hit], place[hit], np.ones(int(hit.sum()), np.int64), spot[hit]))
+    which, place, n, spot = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [starts[:0]] * 4
+    return which, place - starts[which], n, spot
+
+
 def phrases(source: DataFrame, window: int, anchor: int) -> DataFrame:
     """id, th, phrase: struct(s0, n, ref, ref_s0) for all windows that occur more than once."""
-    runs, classes, shared = find_classes(source, finder(source, word_symbols, window, anchor, window * LONG_ANCHOR // WINDOW))
-    whole = cut(classes.where("k > 1").select("anchor", "sig", "first"))
-    full = join_keyed(runs, whole, ["anchor", "sig"], "inner").select("id", "th", F.struct("s0", "n", F.col("first.id").alias("ref"), F.col("first.s0").alias("ref_s0")).alias("phrase"))
-    single = join_keyed(classes, shared, ["anchor"], "left_semi").select("first.id", "first.th", F.struct("first.s0", "n", (F.col("k") == 1).alias("single")).alias("segment"))
-    rows = cut(by_document(single, "segment"))
-    out = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("single", pa.bool_()), ("k1", pa.int64()), ("k2", pa.int64())])
-
-    def windows(batches):
-        for b in batches:
-            ids, ths = b.column("id").to_numpy(), b.column("th").to_numpy()
-            own = b.column("segment")
-            flat, counts = own.flatten(), pa.compute.list_value_length(own).to_numpy()
-            s0, n, one = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("s0", "n", "single"))
-            edges = np.concatenate([[0], np.cumsum(counts)])
-            for i, j, data, offsets in K.chunks(b.column("text")):
-                starts, ends, at = K.words(data, offsets)
-                h = K.word_hashes(data, starts, ends)
-                p, q = K.Prefix(h), K.Prefix(h, second=True)
-                x = slice(edges[i], edges[j])
-                row = np.repeat(np.arange(i, j), counts[i:j])
-                total = n[x].astype(np.int64)
-                step = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
-                pos = np.repeat(s0[x].astype(np.int64), total) + step
-                rows = np.repeat(row, total)
-                a = at[rows - i] + pos
-                yield batch(out, ids[rows], ths[rows], pos.astype(np.int32), pa.array(np.repeat(one[x], total)), K.signed(K.mix(p.span(a, a + window))), K.signed(K.mix(q.span(a, a + window))))
-
-    seen = cut(beside(source, rows, "inner").select("id", "th", "text", "segment").mapInArrow(lean(windows), "id long, th long, pos int, single boolean, k1 long, k2 long"))
-    index = cut(seen.groupBy("k1", "k2").agg(F.min(F.struct("id", "pos")).alias("ref"), F.count("*").alias("k")).where("k > 1").select("k1", "k2", "ref"))
-    hits = join_keyed(seen.where("single"), index, ["k1", "k2"], "inner").select("id", "th", F.struct(F.col("pos").alias("s0"), F.lit(1).alias("n"), F.col("ref.id").alias("ref"), F.col("ref.pos").alias("ref_s0")).alias("phrase"))
-    return full.union(hits)
+    settled = settle(source, cutter(source, word_symbols, window, (anchor, window * LONG_ANCHOR // WINDOW)), all_go=True)
+
+    def bounds(data, offsets, row, s0, n):
+        starts, ends, at = K.words(data, offsets)
+        first = at[row] + s0
+        return starts[first], ends[first + n + window - 2]
+
+    def judge(x: Stretches):
+        size = np.fromiter(map(len, x.text), np.int64, len(x.text))
+        data = np.frombuffer(b"".join(x.text), np.uint8)
+        begin, end, at = K.words(data, np.concatenate([[0], np.cumsum(size)]))
+        _, symbols = np.unique(K.word_hashes(data, begin, end), return_inverse=True)
+        sums = K.Prefix(K.mix(symbols.astype(np.uint64) + np.uint64(1)))
+        number, many = ranks(x.key)
+        parts = []
+        # any two stretches of a key differ in some digit of their numbers: there each side is parsed against the other as its reference
+        for level in range(int(many.max(initial=1) - 1).bit_length()):
+            digit = number >> level & 1
+            for side in (0, 1):
+                own, other = np.flatnonzero((digit == side) & ~x.known & (many > 1 << level)), np.flatnonzero((digit != side) & (many > 1 << level))
+                if len(own) and len(other):
+                    block = Block(symbols, at[other], at[other + 1])
+                    which, first, n, spot = factor(block, symbols, sums, at[own], at[own + 1], window)
+                    ref = np.searchsorted(block.ends, spot)
+                    parts.append((own[which], first, n, x.ids[other[ref]], x.s0[other[ref]] + spot - block.starts[ref]))
+        return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else tuple(np.zeros(0, np.int64) for _ in range(5))
+
+    found = settled.where("block is null").drop("block").unionByName(judged(source, settled, bounds, judge))
+    return found.select("id", "th", F.struct("s0", "n", "ref", "ref_s0").alias("phrase"))
 
 
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, factors (start, words, ref, ref_start), and on request the kept text."""
     source = keyed(docs, doc_id, text)
-    rows = cut(by_document(phrases(source, window, anchor), "phrase"))  # so that shuffles before it can go
+    rows = by_document(phrases(source, window, anchor), "phrase")
     factor = pa.struct([("start", pa.int32()), ("words", pa.int32()), ("ref", pa.int64()), ("ref_start", pa.int32())])
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("factors", pa.list_(factor)), ("text", pa.string())])
 
