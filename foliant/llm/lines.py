@@ -7,15 +7,16 @@ occurrence (least id, then position) go, and the covered positions are merged to
 Defined results: null text has no lines and stays null; "" is one empty line. Documents under
 three lines keep all. Windows of three blank lines are never duplicates. Rows equal in id and
 text count as one document. Rows equal in id alone rank by a hash of their text; a null id ranks
-last. Extra columns are kept; ones named n_lines or n_removed are replaced.
+last. Extra columns are kept, whatever their names; ones named n_lines or n_removed, in any case
+of letters, are replaced. Time and memory grow in proportion to a text, also a very long one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, LAST_ID, cut, join_keyed, packed_rows
+from .shared import BROADCAST_ROWS, LAST_ID, cut, discard, join_keyed, packed_rows
 
 LINES = 3
 
@@ -24,27 +25,36 @@ def removed_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     """_id, _th, spans (sorted disjoint structs of first line and end line), cut; and their weight in rows."""
     split = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("_id"), F.xxhash64(F.col(text)).alias("_th"), F.split(F.col(text), "\n").alias("ls")).where(F.size("ls") >= lines)
     of = [f"ls[i + {k}]" for k in range(lines)]
-    windows = split.select("_id", "_th", F.expr(f"inline(transform(sequence(0, size(ls) - {lines}), i -> named_struct('pos', i, 'k1', xxhash64({', '.join(of)}), 'k2', xxhash64(7, {', '.join(reversed(of))}), 'ink', length(trim(concat({', '.join(of)}))) > 0)))")).where("ink").drop("ink")
+    # ls as a lambda's variable: split once a text
+    windows = split.select("_id", "_th", F.expr(f"inline(flatten(transform(array(ls), ls -> transform(sequence(0, size(ls) - {lines}), i -> named_struct('pos', i, 'k1', xxhash64({', '.join(of)}), 'k2', xxhash64(7, {', '.join(reversed(of))}), 'ink', length(trim(concat({', '.join(of)}))) > 0)))))")).where("ink").drop("ink")
     first = cut(windows.groupBy("k1", "k2").agg(F.min(F.struct("_id", "_th", "pos")).alias("first"), F.max(F.struct("_id", "_th", "pos")).alias("last")).where("first <> last").select("k1", "k2", "first"))
     later = join_keyed(windows, first, ["k1", "k2"], "inner").where("struct(_id, _th, pos) <> first")
-    merge = f"""aggregate(array_sort(collect_set(pos)), array(named_struct('a', 0, 'b', 0)), (s, p) ->
-        if(p <= element_at(s, -1).b, concat(slice(s, 1, size(s) - 1), array(named_struct('a', element_at(s, -1).a, 'b', p + {lines}))),
-           concat(s, array(named_struct('a', p, 'b', p + {lines})))), s -> filter(s, x -> x.b > 0))"""
-    spans = cut(later.groupBy("_id", "_th").agg(F.expr(merge).alias("spans")))
+    # covered positions that touch make one span: a span begins where the last position is too far back
+    own = Window.partitionBy("_id", "_th").orderBy("pos")
+    begun = later.select("_id", "_th", "pos", (F.col("pos") > F.lag("pos").over(own) + lines).alias("new"))
+    island = begun.select("_id", "_th", "pos", F.count_if("new").over(own).alias("island"))
+    each = island.groupBy("_id", "_th", "island").agg(F.min("pos").alias("a"), (F.max("pos") + lines).alias("b"))
+    spans = cut(each.groupBy("_id", "_th").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans")))
+    discard(first)
     weigh = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("n"), F.count("*").alias("k")).first()
     return spans, weigh.n + weigh.k
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lines: int = LINES) -> DataFrame:
-    """The input's rows and columns with the kept text, and n_lines, n_removed."""
+def deduped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lines: int = LINES) -> DataFrame:
+    """r (the whole input row), kept (its text without later occurrences), n_lines, n_removed. Work is in proportion to the text: kept stretches are slices between spans."""
     spans, weight = removed_spans(docs, doc_id, text, lines)
     joined = join_keyed(packed_rows(docs, doc_id, text), spans, ["_id", "_th"], "left", rows=weight if weight <= BROADCAST_ROWS else BROADCAST_ROWS + 1)
-    ls = F.split(F.col("r")[text], "\n")
+    split = joined.select("r", "spans", F.col("r")[text].alias("t"), F.split(F.col("r")[text], "\n").alias("ls"))
+    between = "transform(sequence(0, size(spans)), k -> slice(ls, if(k = 0, 0, spans[k - 1].b) + 1, if(k = size(spans), size(ls), spans[k].a) - if(k = 0, 0, spans[k - 1].b)))"
+    kept = F.expr(f"if(spans is null, t, array_join(flatten(transform(array(ls), ls -> flatten({between}))), '\n'))")
     gone = F.coalesce(F.aggregate("spans", F.lit(0), lambda n, s: n + s.b - s.a), F.lit(0))
-    kept = F.array_join(F.filter(ls, lambda x, i: ~F.exists("spans", lambda s: (i >= s.a) & (i < s.b))), "\n")
-    own = F.when(F.col("spans").isNull(), F.col("r")[text]).otherwise(kept)
-    counts = {"n_lines": F.coalesce(F.size(ls), F.lit(0)), "n_removed": gone}
-    return joined.select(*[own.alias(c) if c == text else F.col("r")[c].alias(c) for c in docs.columns if c not in counts], *[c.cast("long").alias(n) for n, c in counts.items()])
+    return split.select("r", kept.alias("kept"), F.coalesce(F.size("ls"), F.lit(0)).cast("long").alias("n_lines"), gone.cast("long").alias("n_removed"))
+
+
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lines: int = LINES) -> DataFrame:
+    """The input's rows and columns with the kept text, and n_lines, n_removed."""
+    added = ("n_lines", "n_removed")
+    return deduped(docs, doc_id, text, lines).select(*[(F.col("kept") if c == text else F.col("r")[c]).alias(c) for c in docs.columns if c.lower() not in added], *added)
 
 
 #: The same rows in DuckDB's SQL: doc_id, n_lines, n_removed, kept_md5.
