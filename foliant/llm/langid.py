@@ -1,11 +1,15 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts n-grams of a bounded, hash-chosen sample of labelled rows with one distributed
+Priors count all labelled rows. N-grams are counted in a bounded sample of them, chosen by hash in
+equal shares of the languages (of the LANGUAGES most frequent ones), with one distributed
 aggregate. The log-probability matrix (languages x buckets) has a fixed size, is broadcast, and
 whole texts are scored in numpy batches by sparse gathers: only the buckets that a text hits
 are read.
 
-Defined results: a null text and a text without a letter give `und` and score 0. A null id is
+The prediction is the greatest posterior; the score is that posterior with all its evidence, prior
+included, tempered to 64 n-grams, as n-grams of one text depend on each other.
+
+Defined results: a null text and a text without a letter (of any plane) give `und` and score 0. A null id is
 never trained on and is not held out. With no labelled row at all every text is `und`. Among
 equal scores the language first in byte order wins. Repeated rows get equal rows. Extra columns
 are ignored.
@@ -23,8 +27,10 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .shared import batch, lean
 
-#: Labelled rows that training may read, in expectation (a documented bound of the operator).
-TRAIN_ROWS = 20_000
+#: Labelled rows that training may read, in expectation, in equal shares of the languages; and languages that it may learn (documented bounds of the operator).
+TRAIN_ROWS, LANGUAGES = 20_000, 256
+#: Score under which a filter takes a text's language for unknown.
+LEAST = 0.5
 BITS = 15
 ORDERS = (1, 2, 3, 4)
 SPACE = 32
@@ -41,14 +47,11 @@ _table: list[np.ndarray] = []
 
 
 def letters() -> np.ndarray:
-    """Lower-case letter for each code point of the first plane, a space for all else."""
+    """Lower-case letter for each code point of all planes, a space for all that is no letter."""
     if not _table:
-        t = np.full(1 << 16, SPACE, np.uint32)
-        for c in range(1 << 16):
-            s = chr(c)
-            if s.isalpha():
-                low = s.lower()
-                t[c] = ord(low) if len(low) == 1 and ord(low) < 1 << 16 else c
+        every = [c for c in range(0x110000) if chr(c).isalpha()]
+        t = np.full(0x110000, SPACE, np.uint32)
+        t[every] = [ord(low) if len(low := chr(c).lower()) == 1 else c for c in every]
         _table.append(t)
     return _table[0]
 
@@ -63,9 +66,7 @@ def points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         code, at = np.concatenate([*parts, np.zeros(0, np.uint32)]), np.cumsum([0, *map(len, parts)])
     else:
         at = starts[offsets]
-    table = letters()
-    low = table[np.minimum(code, 0xFFFF)]
-    return np.where(code > 0xFFFF, code, low), at
+    return letters()[code], at
 
 
 def buckets(code: np.ndarray, at: np.ndarray):
@@ -97,42 +98,40 @@ class Model:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", rows: int = TRAIN_ROWS) -> Model:
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(doc_id) != HELD))
-    n = known.count()
-    share = min(1.0, rows / max(n, 1))
-    sample = known.where(F.pmod(F.xxhash64(F.col(doc_id), F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64()), ("docs", pa.int64())])
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(doc_id) != HELD)).select(F.col(doc_id).cast("string").alias("i"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    # the most frequent values, counted over all rows; each has its share of the bounded sample, so a rare one is wholly in it
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not sizes:
+        return Model([], np.zeros((0, (1 << BITS) + 1), np.float32), np.zeros(0))
+    rates = known.sparkSession.createDataFrame([(r.lang, int(min(1.0, rows / len(sizes) / r.n) * (1 << 20))) for r in sizes], "lang string, rate long")
+    sample = known.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("i", F.lit(5)), F.lit(1 << 20)) < F.col("rate")).select("text", "lang")
+    schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
-        seen: dict[str, int] = {}
         for b in batches:
             names = b.column("lang").to_pylist()
             for i, j, data, offsets in K.chunks(b.column("text")):
                 code, at = points(data, offsets)
                 who = {x: k for k, x in enumerate(dict.fromkeys(names[i:j]))}
-                for x in names[i:j]:
-                    seen[x] = seen.get(x, 0) + 1
                 lane = np.repeat(np.array([who[x] for x in names[i:j]], np.int64), np.diff(at))
                 for _, h, ok in buckets(code, at):
                     both = np.bincount((lane[: len(h)][ok] << BITS) | h[ok], minlength=len(who) << BITS)
                     for x, k in who.items():
                         total[x] = total.get(x, 0) + both[k << BITS : (k + 1) << BITS]
-        for x in seen:
-            v = total.get(x, np.zeros(1 << BITS, np.int64))
+        for x, v in total.items():
             some = np.flatnonzero(v)
-            yield batch(schema, [x] * (len(some) + 1), np.append(some, -1).astype(np.int32), np.append(v[some], 0), np.append(0 * some, seen[x]))
+            yield batch(schema, [x] * len(some), some.astype(np.int32), v[some])
 
-    pdf = sample.mapInArrow(lean(count), "lang string, bucket int, n long, docs long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).toPandas()
-    langs = sorted(pdf.lang.unique())
+    # at most LANGUAGES x 2**BITS numbers, of fixed size whatever the input
+    pdf = sample.mapInArrow(lean(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    sizes = sorted(sizes)
+    langs, prior = [r.lang for r in sizes], np.array([r.n + 1.0 for r in sizes])
     counts = np.zeros((len(langs), 1 << BITS))
-    prior = np.ones(len(langs))
     for k, x in enumerate(langs):
         own = pdf[pdf.lang == x]
-        prior[k] += own.docs.sum()
-        own = own[own.bucket >= 0]
         counts[k, own.bucket.to_numpy()] = own.n.to_numpy()
-    log_p = np.log(counts + 0.5) - np.log((counts + 0.5).sum(1, keepdims=True)) if langs else counts
+    log_p = np.log(counts + 0.5) - np.log((counts + 0.5).sum(1, keepdims=True))
     return Model(langs, np.hstack([log_p, np.zeros((len(langs), 1))]).astype(np.float32), np.log(prior / prior.sum()))
 
 
@@ -155,10 +154,10 @@ def classify(m: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             grams[own] += np.add.reduceat(ok.astype(np.int64), cuts)
             for k in range(len(m.langs)):
                 total[k, own] += np.add.reduceat(m.log_p[k][h], cuts, dtype=np.float64)
-        z = m.prior[:, None] + total * np.minimum(1, 64 / np.maximum(grams, 1))
-        z -= z.max(0)
+        z = m.prior[:, None] + total
+        best = z.argmax(0)  # the model's own decision
+        z = (z - z.max(0)) * np.minimum(1, 64 / np.maximum(grams, 1))  # the score alone is tempered
         p = np.exp(z) / np.exp(z).sum(0)
-        best = p.argmax(0)
         rows = np.flatnonzero(lit)
         names[i + rows] = np.array(m.langs, object)[best[rows]]
         scores[i + rows] = p[best[rows], rows]
@@ -166,7 +165,7 @@ def classify(m: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: its id, lang_pred and score (the posterior, evidence tempered to 64 n-grams)."""
+    """One row per input row: its id, lang_pred and score (the posterior, tempered to 64 n-grams)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
@@ -177,17 +176,20 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(score), "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows, all their columns, whose text has a language: those that are `und` go."""
+def keep_identified(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang", least: float = LEAST) -> DataFrame:
+    """The rows, all their columns, whose language is identified with a score of `least` or more; `lang` takes the prediction."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text)
+    at, into = docs.columns.index(text), docs.columns.index(lang)
 
     def keep(batches):
         for b in batches:
-            names, _ = classify(shared.value, b.column(at))
-            yield b.filter(pa.array(names != "und"))
+            names, scores = classify(shared.value, b.column(at))
+            own = b.set_column(into, b.schema.field(into), pa.array(names, b.schema.field(into).type))
+            yield own.filter(pa.array((names != "und") & (scores >= least)))
 
-    return docs.mapInArrow(lean(keep), docs.schema)
+    # columns go by place, whatever their names are
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(lean(keep), plain.schema).toDF(*docs.columns)
 
 
 def language_id(docs: DataFrame, model: Model | None = None) -> DataFrame:
