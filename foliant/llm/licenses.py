@@ -160,7 +160,7 @@ def find(data: np.ndarray, offsets: np.ndarray, lib: Library) -> list[tuple[int,
 
 def license_scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per match: doc_id, license, start_word, n_words, containment."""
-    own = templates or TEMPLATES
+    own = TEMPLATES if templates is None else templates
     out = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("containment", pa.float64())])
 
     def scan(batches):

@@ -168,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     share = min(1.0, rows / max(n, 1))
     # at most about TRAIN_ROWS pairs of numbers, so this side's size is bounded by the parameter
     chosen = F.broadcast(known.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20))))
-    sample = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(chosen, "doc_id").select("text", "gold")
+    sample = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(chosen, "doc_id").select("doc_id", "text", "gold").distinct().select("text", "gold")
     counts = pa.schema([("bucket", pa.int32()), ("pos", pa.int64()), ("neg", pa.int64())])
 
     def count(batches):
