@@ -7,6 +7,7 @@ decisions take effect; all but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliant.llm import decontaminate as contamination
 from foliant.llm import langid, lines, ngram_join, packing
@@ -14,14 +15,15 @@ from foliant.llm.shared import cut
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identifiable language go."""
+    """Documents whose language isn't identified with a score of 0.5 go; of the others, lang takes the prediction."""
     return langid.keep_identified(docs, langid.train(docs))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of repeated three-line windows leave the texts; n_chars follows."""
-    out = lines.line_dedup(docs)
-    return out.selectExpr(*[f"cast(coalesce(length(text), 0) as {kind}) as n_chars" if c == "n_chars" else f"`{c}`" for c, kind in docs.dtypes])
+    """Later occurrences of repeated three-line windows leave the texts; n_chars follows. A document of which nothing but blanks is left, as of a copy, goes."""
+    out = lines.deduped(docs).where("n_removed = 0 or trim(BOTH '\n\t\r ' FROM kept) <> ''")
+    new = {"text": F.col("kept"), "n_chars": F.coalesce(F.length("kept"), F.lit(0))}
+    return out.select(*[new.get(f.name, F.col("r")[f.name]).cast(f.dataType).alias(f.name) for f in docs.schema])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
