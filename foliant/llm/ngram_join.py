@@ -4,19 +4,23 @@ A document is the set of its distinct word shingles. Two documents link when the
 similarity reaches SIMILARITY; the result is each document's connected component.
 
 1. Shingles are counted over the whole corpus (a fixed share of them, chosen by hash; per-task
-   sums first). A linked document can have no more unique shingles than its size less the
-   required overlap, so documents with more of them are settled at once: they link with nothing.
-2. The rest collapse to one representative per distinct set. Each takes its rarest shingles as
-   a prefix, just long enough that linked sets must share one. All who share a prefix shingle
-   meet in the cell of the least of them. A cell beyond CELL bytes is dealt out as pairs of blocks.
-3. In a cell, inverted lists are searched as in DivideSkip: a set's short lists are merged by
+   sums first); a table of fixed size keeps how frequent the most frequent one of each slot is.
+2. Each set's rarest shingles by that table are its prefix, just long enough that linked sets
+   must share one. Prefix shingles in no other set (certain ones are left out at once) drop out in a shuffle,
+   so a full table makes prefixes longer lived, but settles nothing wrongly and lets no set through
+   that shares none. Sets equal to each other are one from here on.
+3. All who share a prefix shingle meet in the cell of the least of them; only those sets are made
+   of their texts again. A cell beyond CELL bytes is compared with one of its sets, its pivot,
+   first, in blocks; those that link with the pivot are joined and needn't be compared with each
+   other, so pairs of blocks are dealt out only of the rest against all.
+4. In a cell, inverted lists are searched as in DivideSkip: a set's short lists are merged by
    counting, the few longest are only probed by binary search for documents whose count can
    still reach the overlap T. Documents of a component that is already joined are not verified
    again, and only edges that join two components leave the cell: at most one per document.
-4. Components of those edges are found by rounds of least labels.
+5. Components of those edges are found by rounds of least labels.
 
-No partner or candidate is dropped: steps 1 and 2 use necessary conditions, step 3 is exact on
-64-bit shingle hashes.
+No partner or candidate is dropped: step 2 uses necessary conditions, step 4 is exact on 64-bit
+hashes of shingles; equal sets are told by 128 bits, sets among each other by 64.
 
 Defined results: null text, and text without words, is the empty set: size 0, linked with
 nothing, its own component. Fewer words than a shingle: the whole sequence is the one shingle.
@@ -28,11 +32,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import LAST_ID, batch, components, cut, join_keyed, lean, level_of, level_sketch, packed_rows
+from .shared import LAST_ID, batch, components, cut, discard, join_keyed, lean, level_of, level_sketch, packed_rows
 
 WORDS = 4
 SIMILARITY = (85, 100)
@@ -41,7 +45,9 @@ COUNTED = 80
 #: DivideSkip's cost ratio; larger than for heaps, as merging by counting is cheap next to a probe here.
 MU = 0.085
 #: Bytes of shingle hashes that a cell may hold before it is dealt out.
-CELL = 2 << 20
+CELL = 1 << 18
+#: Level (of the table) up to which a shingle's sets, some thousand at most, may meet in one task.
+COMMON = 60
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,15 +80,16 @@ def least_overlap(size: np.ndarray | int, similarity: tuple[int, int]):
     return -(-size * similarity[0] // similarity[1])
 
 
-def prefix_tokens(g: np.ndarray, levels: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
-    """The shared ones of a set's rarest shingles, in an order that is the same for all sets: counted before others, then by level, then by hash."""
+def prefix_tokens(g: np.ndarray, levels: np.ndarray, similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The shared ones of a set's rarest shingles, in an order that is the same for all sets: counted before others, then by level, then by hash. Those of few sets, and those that may be of many."""
     need = len(g) - int(least_overlap(len(g), similarity)) + 1
     of = counted(g)
     own = g[of]
     level = level_of(levels, own)
     order = np.lexsort((own, level))[:need]
-    chosen = own[order][level[order] > 0]
-    return np.concatenate([chosen, g[~of][: need - min(need, len(own))]])
+    chosen, level = own[order], level[order]
+    few = (level > 0) & (level <= COMMON)
+    return chosen[few], np.concatenate([chosen[level > COMMON], g[~of][: need - min(need, len(own))]])
 
 
 class Cell:
@@ -162,22 +169,23 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """doc_id, n_shingles and component_id of every row."""
     known = lambda c: F.when(c != LAST_ID, c)
     out = grouped(docs, doc_id, text, words, similarity)
-    return out.select(known(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), known(F.col("group.id")).alias("component_id"))
+    return out.select(known(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), known(F.coalesce("least", "id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """The rows, all their columns, of the least id of each component; of rows equal in id and text, one."""
     every = cut(grouped(docs, doc_id, text, words, similarity).select("id", "th", "group"))
-    several = cut(every.groupBy("group").agg(F.min(F.struct("id", "th")).alias("first"), F.max(F.struct("id", "th")).alias("last")).where("first <> last").select("group", "first"))
+    several = cut(every.where("group is not null").groupBy("group").agg(F.min(F.struct("id", "th")).alias("first"), F.max(F.struct("id", "th")).alias("last")).where("first <> last").select("group", "first"))
     gone = cut(join_keyed(every, several, ["group"], "inner").where("struct(id, th) <> first").select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct())
     kept = join_keyed(packed_rows(docs, doc_id, text), gone, ["_id", "_th"], "left_anti")
     if not every.groupBy("id", "th").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["_id", "_th"])
+    discard(every, several)
     return kept.select("r.*")
 
 
 def grouped(docs: DataFrame, doc_id: str, text: str, words: int, similarity: tuple[int, int]) -> DataFrame:
-    """id, th, n and group: struct(id, c), the least member's, of every row."""
+    """id, th, n of every row; and of rows that link with others group, a number, and least, the least id."""
     source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
     spark = docs.sparkSession
     keys = pa.schema([("key", pa.int64()), ("n", pa.int64())])
@@ -203,70 +211,115 @@ def grouped(docs: DataFrame, doc_id: str, text: str, words: int, similarity: tup
             yield from out()
 
     levels = spark.sparkContext.broadcast(level_sketch(source.select("text").mapInArrow(lean(count), "key long, n long")))
-    sets = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("grams", pa.binary())])
+    sets = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("few", pa.binary()), ("many", pa.binary())])
 
-    def settle(batches):
+    def describe(batches):
         for b in batches:
             for i, j, data, offsets in K.chunks(b.column("text")):
                 g, at = shingles(data, offsets, words)
                 n = np.diff(at)
-                alone = np.zeros(len(g) + 1, np.int64)
-                np.cumsum(counted(g) & (level_of(levels.value, g) == 0), out=alone[1:])
-                unique = alone[at[1:]] - alone[at[:-1]]
-                open_ = (n > 0) & (unique <= n - least_overlap(n, similarity))
                 s1, s2 = (np.concatenate([[np.uint64(0)], np.cumsum(K.mix(g ^ np.uint64(x)))]) for x in (3, 0xABCDEF))
                 c1, c2 = (K.signed(K.mix(s[at[1:]] - s[at[:-1]] + n.astype(np.uint64))) for s in (s1, s2))
-                yield batch(sets, b.column("id").slice(i, j - i), b.column("th").slice(i, j - i), n, pa.array(c1, mask=~open_), pa.array(c2, mask=~open_), [g[x:y].tobytes() if o else None for x, y, o in zip(at[:-1], at[1:], open_, strict=True)])
-
-    every = cut(source.mapInArrow(lean(settle), "id long, th long, n long, c1 long, c2 long, grams binary"))
-    reps = cut(every.where("grams is not null").groupBy("c1", "c2").agg(F.min("id").alias("id"), F.first("grams").alias("grams")))
-    tokens = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("c1", pa.int64())])
-
-    def prefixes(batches):
-        for b in batches:
-            ids, cs = (b.column(x).to_numpy() for x in ("id", "c1"))
-            own = [prefix_tokens(np.frombuffer(x.as_py(), np.uint64), levels.value, similarity) for x in b.column("grams")]
-            n = [len(x) for x in own]
-            if sum(n):
-                yield batch(tokens, K.signed(np.concatenate(own)), np.repeat(ids, n), np.repeat(cs, n))
-
-    listed = cut(reps.select("id", "c1", "grams").mapInArrow(lean(prefixes), "token long, id long, c1 long"))
-    me = F.struct("id", "c1")
-    heads = cut(listed.groupBy("token").agg(F.min(me).alias("head"), F.count("*").alias("k")).where("k > 1").select("token", "head"))
-    members = cut(join_keyed(listed, heads, ["token"], "inner").select("head", "id", "c1").distinct())
-    sized = members.join(reps.select("id", "c1", F.octet_length("grams").alias("bytes")), ["id", "c1"])
+                own = [prefix_tokens(g[x:y], levels.value, similarity) if y > x else (g[:0], g[:0]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                few, many = ([x[k].tobytes() if len(x[k]) else None for x in own] for k in (0, 1))
+                yield batch(sets, b.column("id").slice(i, j - i), b.column("th").slice(i, j - i), n, pa.array(c1, mask=n == 0), pa.array(c2, mask=n == 0), few, many)
+
+    every = cut(source.mapInArrow(lean(describe), "id long, th long, n long, c1 long, c2 long, few binary, many binary"))
+    first = F.min(F.struct("id", "th")).alias("first")
+    reps = cut(every.where("n > 0").groupBy("c1", "c2").agg(first, F.count("*").alias("k"), F.first("n").alias("n"), F.first("few").alias("few"), F.first("many").alias("many")).select("first.id", "first.th", "c1", "c2", "k", "n", "few", "many", F.xxhash64("first.id", "c1").alias("node")))
+    tokens = pa.schema([("token", pa.int64()), ("node", pa.int64())])
+
+    def listed(kind: str) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                own = [np.frombuffer(x.as_py(), np.int64) for x in b.column("own")]
+                yield batch(tokens, np.concatenate(own), np.repeat(b.column("node").to_numpy(), [len(x) for x in own]))
+
+        return reps.where(F.col(kind).isNotNull()).select(F.col(kind).alias("own"), "node").mapInArrow(lean(run), "token long, node long")
+
+    # who shares a token has the least of its nodes for head. Few share one that is not common: they meet in one shuffle; others by an aggregate and a join
+    each = Window.partitionBy("token")
+    near = listed("few").withColumn("head", F.min("node").over(each)).withColumn("k", F.count("*").over(each)).where("k > 1").select("head", "node")
+    heads = cut(listed("many").groupBy("token").agg(F.min("node").alias("head"), F.count("*").alias("k")).where("k > 1").select("token", "head"))
+    members = cut(near.union(join_keyed(listed("many"), heads, ["token"], "inner").select("head", "node")).distinct())
+    sized = cut(members.join(reps.select("node", (F.col("n") * 8).alias("bytes")), "node"))
     cells = cut(sized.groupBy("head").agg(F.ceil(F.sum("bytes") / CELL).cast("int").alias("blocks"), F.count("*").alias("k")).where("k > 1").select("head", "blocks"))
-    placed = join_keyed(members, cells, ["head"], "inner").withColumn("side", F.expr("cast(pmod(xxhash64(id, c1), blocks) as int)"))
-    dealt = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("head", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "c1")
-    cell = F.xxhash64("head.id", "head.c1", "i", "j").alias("cell")
-    filled = dealt.join(reps.select("id", "c1", "grams"), ["id", "c1"]).select(cell, "i", "j", "side", "id", "c1", "grams").repartition("cell").sortWithinPartitions("cell")
-    pairs = pa.schema([(x, pa.int64()) for x in ("a_id", "a_c", "b_id", "b_c")])
-
-    def search(batches):
-        now, rows = None, []
+    placed = cut(join_keyed(sized, cells, ["head"], "inner"))
+    discard(heads, members, sized)
+    met = cut(placed.select("node").distinct())
+    chosen = cut(join_keyed(reps.select("id", "th", "node"), met, ["node"], "left_semi"))
+    grams = pa.schema([("node", pa.int64()), ("grams", pa.binary())])
 
-        def flush():
-            if len(rows) > 1:
-                for x, y in Cell([r[2] for r in rows], np.array([r[4] for r in rows]), similarity).edges(rows[0][3]):
-                    yield (*rows[x][:2], *rows[y][:2])
-
-        out = []
+    def again(batches):
         for b in batches:
-            for key, i, j, side, i_d, c, g in zip(*(b.column(x).to_pylist() for x in ("cell", "i", "j", "side", "id", "c1")), b.column("grams"), strict=True):
-                if key != now:
-                    out.extend(flush())
-                    now = key
-                    rows.clear()
-                rows.append((i_d, c, np.frombuffer(g.as_py(), np.uint64), i != j, side))
-            if len(out) > 10_000:
+            for i, j, data, offsets in K.chunks(b.column("text")):
+                g, at = shingles(data, offsets, words)
+                yield batch(grams, b.column("node").slice(i, j - i), [g[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+
+    texts = join_keyed(source, chosen, ["id", "th"], "inner").groupBy("id", "th").agg(F.first("node").alias("node"), F.first("text").alias("text"))
+    own_sets = cut(texts.select("node", "text").mapInArrow(lean(again), "node long, grams binary"))
+    discard(met, chosen)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """Rows of (cell, across, side, node) with their sets, cell by cell."""
+        return rows.join(own_sets, "node").repartition("cell").sortWithinPartitions("cell")
+
+    pairs = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def by_cell(of):
+        def run(batches):
+            now, rows, out = None, [], []
+            for b in batches:
+                for key, across, side, node, g in zip(*(b.column(x).to_pylist() for x in ("cell", "across", "side", "node")), b.column("grams"), strict=True):
+                    if key != now:
+                        out.extend(of(rows))
+                        now = key
+                        rows.clear()
+                    rows.append((node, np.frombuffer(g.as_py(), np.uint64), across, side))
+                if len(out) > 10_000:
+                    yield batch(pairs, *zip(*out, strict=True))
+                    out = []
+            out.extend(of(rows))
+            if out:
                 yield batch(pairs, *zip(*out, strict=True))
-                out = []
-        out.extend(flush())
-        if out:
-            yield batch(pairs, *zip(*out, strict=True))
-
-    links = filled.mapInArrow(lean(search), "a_id long, a_c long, b_id long, b_c long").select(F.struct(F.col("a_id").alias("id"), F.col("a_c").alias("c1")).alias("a"), F.struct(F.col("b_id").alias("id"), F.col("b_c").alias("c1")).alias("b"))
-    found = components(links)
-    classes = cut(reps.select("c1", "c2", me.alias("node")).join(found, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("group")))
-    out = join_keyed(every.select("id", "th", "n", "c1", "c2"), classes, ["c1", "c2"], "left")
-    return out.select("id", "th", "n", F.coalesce("group", F.struct("id", F.col("th").alias("c1"))).alias("group"))
+
+        return lean(run)
+
+    def search(rows):
+        if len(rows) > 1:
+            for x, y in Cell([r[1] for r in rows], np.array([r[3] for r in rows]), similarity).edges(rows[0][2]):
+                yield rows[x][0], rows[y][0]
+
+    def to_pivot(rows):
+        pivots = [r for r in rows if r[3] < 0]
+        for pivot, g, *_ in pivots[:1]:
+            for node, other, _, side in rows:
+                shared_ = len(np.intersect1d(g, other, assume_unique=True)) if side >= 0 and node != pivot else 0
+                if shared_ and similarity[1] * shared_ >= similarity[0] * (len(g) + len(other) - shared_):
+                    yield pivot, node
+
+    no, yes, none = F.lit(False).alias("across"), F.lit(True).alias("across"), F.lit(0).alias("side")
+    links = dealt(placed.where("blocks = 1").select(F.xxhash64("head", F.lit(0)).alias("cell"), no, none, "node")).mapInArrow(by_cell(search), "a long, b long")
+    large = placed.where("blocks > 1").withColumn("j", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    tables = []
+    if not large.isEmpty():
+        subcell = F.xxhash64("head", F.lit(1), "j").alias("cell")
+        pivots = cells.where("blocks > 1").select("head", F.explode(F.expr("sequence(0, blocks - 1)")).alias("j"))
+        star = cut(dealt(large.select(subcell, no, none, "node").union(pivots.select(subcell, no, F.lit(-1), F.col("head").alias("node")))).mapInArrow(by_cell(to_pivot), "a long, b long"))
+        # the rest against all: blocks of the rest, of which each meets each block of the cell
+        rest = cut(large.join(star.select(F.col("a").alias("head"), F.col("b").alias("node")), ["head", "node"], "left_anti").where("node <> head"))
+        parts = cut(rest.groupBy("head").agg(F.ceil(F.sum("bytes") / CELL).cast("int").alias("parts")))
+        pair = F.xxhash64("head", F.lit(2), "i", "j").alias("cell")
+        left = join_keyed(rest, parts, ["head"], "inner").withColumn("i", F.expr("cast(pmod(xxhash64(node, 1), parts) as int)")).withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)")))
+        right = join_keyed(large, parts, ["head"], "inner").withColumn("i", F.explode(F.expr("sequence(0, parts - 1)")))
+        both = left.select(pair, yes, none, "node").union(right.select(pair, yes, F.lit(1), "node"))
+        links = links.union(star).union(dealt(both).mapInArrow(by_cell(search), "a long, b long"))
+        tables = [star, rest, parts]
+    found = cut(components(links))
+    discard(own_sets, placed, cells, *tables)
+    linked = reps.select("node", "id").join(found, "node")
+    least = linked.groupBy("component").agg(F.min("id").alias("least"))
+    group = found.join(least, "component")
+    classes = cut(reps.select("c1", "c2", "k", "id", "node").join(group, "node", "left").where("k > 1 or component is not null").select("c1", "c2", F.coalesce("component", "node").alias("group"), F.coalesce("least", "id").alias("least")))
+    discard(found, reps)
+    return join_keyed(every.select("id", "th", "n", "c1", "c2"), classes, ["c1", "c2"], "left").select("id", "th", "n", "group", "least")

@@ -135,7 +135,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Rounds end when nothing changes; each round's labels are cut, so a lost executor costs one
     round at most. Least labels are aggregates with partial minima, also for hubs.
     """
-    edges = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
+    edges = cut(edges.where("a <> b").select(F.expr("inline(array(named_struct('a', a, 'b', b), named_struct('a', b, 'b', a)))")).distinct())
     before = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
     labels = before
     for _ in range(rounds):
