@@ -68,10 +68,15 @@ def reduction_column(width: Column, height: Column, layer_width: Column, layer_h
     return F.coalesce(F.array_min(fits), F.lit(0))
 
 
+#: Hardening of our own: pixels that a blank page may have.
+BLANK_PIXELS = 1 << 27
+
+
 def blank_pages(pages: DataFrame, subsample: int = 1) -> DataFrame:
-    """White grey pixels for pages without layers."""
+    """White grey pixels for pages without layers; null where a page declares too many."""
     w, h = ceil_div(F.col("width"), F.lit(subsample)), ceil_div(F.col("height"), F.lit(subsample))
-    return pages.withColumns({"out_width": w, "out_height": h, "data": F.unhex(F.repeat(F.lit("FF"), w * h))})
+    n = w.cast("long") * h
+    return pages.withColumns({"out_width": w, "out_height": h, "data": F.when(n <= BLANK_PIXELS, F.unhex(F.repeat(F.lit("FF"), n.cast("int"))))})
 
 
 def readable_bytes(n: Column) -> Column:
@@ -184,11 +189,18 @@ def shape_uses(blits: DataFrame, keys: list[str], shape: str = "shape_no") -> Da
     return blits.groupBy(*keys, shape).agg(F.count("*").alias("uses"))
 
 
+#: Samples, and samples in a million, by which a colour page may differ.
+TOLERATED, PER_MILLION = 2000, 100
+
+
 def image_difference(pairs: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
-    """Per key, of arrays of samples: mean and largest difference, how many differ, and whether that is within the tolerance for colour pages."""
-    flat = pairs.select(*keys, F.explode(F.zip_with(a, b, lambda x, y: F.abs(x - y))).alias("d"))
-    out = flat.groupBy(*keys).agg(F.avg("d").alias("mean_diff"), F.max("d").cast("long").alias("max_diff"), F.count_if(F.col("d") > 0).alias("n_diff"), F.count("*").alias("n"))
-    return out.withColumn("tolerated", (F.col("n_diff") <= 2000) & (F.col("n_diff") * 1000000 <= F.col("n") * 100))
+    """Of each row's arrays of samples: mean and largest difference, how many differ, and whether that is within the tolerance for colour pages. One pass within the row."""
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("most"), F.lit(0).cast("long").alias("n"))
+    d = F.expr("aggregate(_d, _zero, (s, x) -> struct(s.sum + x as sum, greatest(s.most, x) as most, s.n + if(x > 0, 1L, 0L) as n))")
+    own = pairs.withColumns({"_d": F.zip_with(a, b, lambda x, y: F.abs(x - y).cast("long")), "_zero": start}).withColumn("_t", d)
+    n = F.size("_d").cast("long")
+    out = own.select(*keys, (F.col("_t.sum") / n).alias("mean_diff"), F.col("_t.most").alias("max_diff"), F.col("_t.n").alias("n_diff"), n.alias("n"))
+    return out.withColumn("tolerated", (F.col("n_diff") <= TOLERATED) & (F.col("n_diff") * 1000000 <= F.col("n") * PER_MILLION))
 
 
 def bench_totals(timings: DataFrame, file: str, op: str, value: str) -> DataFrame:
@@ -235,6 +247,16 @@ def lift_step(samples: DataFrame, keys: list[str], order: str, value: str) -> Da
     return samples.withColumn("pos", F.row_number().over(w) - 1).withColumn("lifted", F.when(F.col("pos") % 2 == 0, lifted).otherwise(F.col(value)))
 
 
+def interpolate_step(samples: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """The second inverse wavelet step: odd samples gain a prediction from even neighbours, of four inside and of two at the edges."""
+    w = W.partitionBy(*keys).orderBy(order)
+    at = lambda k: (F.lag(value, k) if k > 0 else F.lead(value, -k)).over(w)
+    smooth = F.shiftright((at(1) + at(-1)) * 9 - at(3) - at(-3) + 8, 4)
+    edge = F.shiftright(at(1) + F.coalesce(at(-1), at(1)) + 1, 1)
+    odd = (F.row_number().over(w) - 1) % 2 == 1
+    return samples.withColumn("restored", F.when(odd, F.col(value) + F.coalesce(smooth, edge)).otherwise(F.col(value)))
+
+
 def blend_fold(paints: DataFrame, keys: list[str], order: str, colour: str, alpha: str, ground: int = 255) -> DataFrame:
     """Paint layers over a ground, one after the other: (d (255 - a) + c a + 127) div 255."""
     layers = F.array_sort(F.collect_list(F.struct(order, colour, alpha)))
@@ -280,12 +302,33 @@ def verify_text(left: DataFrame, right: DataFrame, on: list[str], text: str = "t
 
 
 def pretty_zones(zones: DataFrame) -> DataFrame:
-    line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.coalesce("type_name", F.lit("?")), F.format_string(" %d,%d %dx%d", "x", "y", "w", "h"), F.when(F.length(F.coalesce("text", F.lit(""))) > 0, F.concat(F.lit(' "'), F.col("text"), F.lit('"'))).otherwise(""))
-    return zones.withColumn("line", line)
+    """line: a zone's kind and box, its text if it is a word, indented by depth."""
+    kind = F.coalesce(F.when(F.col("type_name") == "column", "col").otherwise(F.col("type_name")), F.lit("?"))
+    word = F.when((F.col("type_name") == "word") & (F.length("text") > 0), F.concat(F.lit(' "'), F.col("text"), F.lit('"'))).otherwise("")
+    return zones.withColumn("line", F.concat(F.repeat(F.lit("  "), F.col("depth")), kind, F.format_string(" [%d,%d %dx%d]", "x", "y", "w", "h"), word))
 
 
 def pretty_outline(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("line", F.concat(F.repeat(F.lit("  "), F.col("depth")), "title", F.lit(" -> "), F.coalesce("url", F.lit("")), F.when(F.col("page_no") >= 0, F.format_string(" [page %d]", F.col("page_no") + 1)).otherwise("")))
+    """line: a bookmark's title, url and page (-1: none), indented by depth."""
+    return nodes.withColumn("line", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.coalesce("title", F.lit("")), F.lit(" -> "), F.coalesce("url", F.lit("")), F.format_string(" (page %d)", F.coalesce("page_no", F.lit(-1)))))
+
+
+def pretty_info(pages: DataFrame) -> DataFrame:
+    """line: a page's number, geometry, id and title."""
+    geometry = F.when(F.col("width").isNull(), "<no info>").otherwise(F.format_string("%dx%d dpi=%d ver=%d rot=%d", "width", "height", "dpi", "version", "rotation"))
+    name = lambda c: F.coalesce(c, F.lit(""))
+    return pages.withColumn("line", F.concat(F.format_string("page %d: ", F.col("page_no") + 1), geometry, F.lit(" id="), name("page_id"), F.lit(" title="), name("title")))
+
+
+#: Numbers of a link's shapes.
+SHAPE_NUMBERS = {"rect": 0, "oval": 1, "text": 2}
+
+
+def pretty_links(links: DataFrame) -> DataFrame:
+    """line: a link's number, box, shape, url and comment."""
+    shape = F.coalesce(*[F.when(F.col("shape") == k, n) for k, n in SHAPE_NUMBERS.items()])
+    note = F.when(F.length(F.coalesce("comment", F.lit(""))) > 0, F.concat(F.lit(" ; "), "comment")).otherwise("")
+    return links.withColumn("line", F.concat(F.format_string("link %d: [%d,%d %dx%d] shape=%d -> ", "ordinal", "x", "y", "w", "h", shape), "url", note))
 
 
 def parse_timings(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -297,10 +340,21 @@ def parse_timings(lines: DataFrame, line: str = "line") -> DataFrame:
     return rows.withColumns({"before_ms": number("_a"), "after_ms": number("_b")}).drop("_a", "_b")
 
 
+def parse_comparison(lines: DataFrame, keys: list[str], order: str, line: str = "line") -> DataFrame:
+    """Rows page, own, other, diff, share (in percent) of the table of each log: whole rows behind its heading; other lines go."""
+    pattern = r"^(\d+)\s+([\d.]+)\s+([\d.]+)\s+([+-][\d.]+)\s+([+-][\d.]+)%\s*$"
+    heading = F.col(line).contains("(best of") & F.col(line).contains(" slower")
+    seen = lines.withColumn("_seen", F.bool_or(heading).over(W.partitionBy(*keys).orderBy(order)))
+    part = lambda k, kind: F.expr(f"try_cast(regexp_extract(`{line}`, r'{pattern}', {k}) as {kind})")
+    rows = seen.where(F.col("_seen") & F.col(line).rlike(pattern)).drop("_seen")
+    return rows.withColumns({"page": part(1, "int"), "own": part(2, "double"), "other": part(3, "double"), "diff": part(4, "double"), "share": part(5, "double")})
+
+
 def corpus_dedupe(files: DataFrame, path: str = "path") -> DataFrame:
-    """Of files with the same name, case aside, the first by path; sorted use is the caller's."""
+    """Of files with the same name, case aside, the first by path: an aggregate with partial minima, so a common name is no hot group."""
     name = F.lower(F.regexp_extract(path, "([^/]*)$", 1))
-    return files.withColumn("name", name).withColumn("_n", F.row_number().over(W.partitionBy("name").orderBy(path))).where("_n = 1").drop("_n")
+    first = files.withColumn("name", name).groupBy("name").agg(F.min_by(F.struct(*files.columns), path).alias("_first"))
+    return first.select(*[F.col("_first")[c].alias(c) for c in files.columns], "name")
 
 
 def sample_files(files: DataFrame, n: int, seed: int = 0, path: str = "path") -> DataFrame:

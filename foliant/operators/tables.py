@@ -420,6 +420,20 @@ def layer_file(all_chunks: DataFrame, chunk_id: str = "BG44") -> DataFrame:
     return grouped.select("path", "page_no", F.concat(F.lit(C.MAGIC + C.FORM), size((F.octet_length("body") + 4).cast("long")), F.lit(b"PM44"), F.col("body")).alias("file"))
 
 
+def blob_texts(blobs: DataFrame) -> DataFrame:
+    """path, page_no and text of blobs (path, blob, n_pages) in which each page's bytes follow their length, four bytes, great end first. A blob that ends early has no more texts; its further pages are empty."""
+
+    def make(path, blob, n_pages):
+        at = 0
+        for page in range(n_pages):
+            end = at + 4 + int.from_bytes(blob[at : at + 4], "big") if at + 4 <= len(blob) else len(blob) + 1
+            whole = end <= len(blob)
+            yield path, page, blob[at + 4 : end].decode("utf-8", "replace") if whole else ""
+            at = end if whole else len(blob)
+
+    return rows(blobs, "path string, page_no int, text string", make)
+
+
 def unpack_stream(streams: DataFrame, column: str = "payload") -> DataFrame:
     """All columns, and `raw`: the block-sorted stream of a column decompressed, null if corrupt."""
     def raw(x: pd.Series) -> pd.Series:

@@ -590,3 +590,7 @@ def image_diff_stats(spark, sf_dir):
 @query("""SELECT doc_id, CASE WHEN n >= 1024 THEN printf('%.1f KB', floor(n * 10 / 1024 + 0.5) / 10) ELSE n || ' B' END AS size FROM (SELECT doc_id, octet_length(encode(text)) AS n FROM documents)""")
 def readable_sizes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", R.readable_bytes(F.octet_length("text")).alias("size"))
+
+
+# further queries register themselves in the same tables
+from foliant.plans import images, structure  # noqa: E402, F401
