@@ -38,7 +38,7 @@ CROWD, TIMES = 1000, 4
 #: Slots in which anchors are counted, and in how many parts they travel.
 SLOTS, PARTS = 1 << 20, 64
 #: Bytes of stretches from which a block is judged.
-BLOCK = 1 << 18
+BLOCK = 1 << 20
 
 SURE, MULTI = 1, 2
 

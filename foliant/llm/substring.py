@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .segments import Stretches, beside, by_document, cutter, gathered, judged, keyed, ranks, settle, suffix_array
-from .shared import LAST_ID, batch, lean
+from .shared import LAST_ID, batch, cut, lean
 
 WINDOW = 35
 ANCHOR, LONG_ANCHOR = 10, 30
@@ -130,7 +130,8 @@ def factor(block: Block, text: np.ndarray, sums: K.Prefix, starts: np.ndarray, e
 
 def phrases(source: DataFrame, window: int, anchor: int) -> DataFrame:
     """id, th, phrase: struct(s0, n, ref, ref_s0) for all windows that occur more than once."""
-    settled = settle(source, cutter(source, word_symbols, window, (anchor, window * LONG_ANCHOR // WINDOW)), all_go=True)
+    long_anchor = window * LONG_ANCHOR // WINDOW
+    settled = cut(settle(source, cutter(source, word_symbols, window, (anchor, long_anchor)), all_go=True))
 
     def bounds(data, offsets, row, s0, n):
         starts, ends, at = K.words(data, offsets)
@@ -143,18 +144,23 @@ def phrases(source: DataFrame, window: int, anchor: int) -> DataFrame:
         begin, end, at = K.words(data, np.concatenate([[0], np.cumsum(size)]))
         _, symbols = np.unique(K.word_hashes(data, begin, end), return_inverse=True)
         sums = K.Prefix(K.mix(symbols.astype(np.uint64) + np.uint64(1)))
-        number, many = ranks(x.key)
+        # stretches none of whose long anchors is in another one share no window with any
+        row, _, _, far, _ = K.anchored_runs(sums, at, window, long_anchor)
+        _, back, times = np.unique(far, return_inverse=True, return_counts=True)
+        some = np.unique(row[times[back] > 1])
+        number, many = ranks(x.key[some])
+        known, first_word, last_word = x.known[some], at[some], at[some + 1]
         parts = []
         # any two stretches of a key differ in some digit of their numbers: there each side is parsed against the other as its reference
         for level in range(int(many.max(initial=1) - 1).bit_length()):
             digit = number >> level & 1
             for side in (0, 1):
-                own, other = np.flatnonzero((digit == side) & ~x.known & (many > 1 << level)), np.flatnonzero((digit != side) & (many > 1 << level))
+                own, other = np.flatnonzero((digit == side) & ~known & (many > 1 << level)), np.flatnonzero((digit != side) & (many > 1 << level))
                 if len(own) and len(other):
-                    block = Block(symbols, at[other], at[other + 1])
-                    which, first, n, spot = factor(block, symbols, sums, at[own], at[own + 1], window)
+                    block = Block(symbols, first_word[other], last_word[other])
+                    which, first, n, spot = factor(block, symbols, sums, first_word[own], last_word[own], window)
                     ref = np.searchsorted(block.ends, spot)
-                    parts.append((own[which], first, n, x.ids[other[ref]], x.s0[other[ref]] + spot - block.starts[ref]))
+                    parts.append((some[own[which]], first, n, x.ids[some[other[ref]]], x.s0[some[other[ref]]] + spot - block.starts[ref]))
         return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else tuple(np.zeros(0, np.int64) for _ in range(5))
 
     found = settled.where("block is null").drop("block").unionByName(judged(source, settled, bounds, judge))
