@@ -11,11 +11,14 @@ Defined results: null and empty texts match nothing. Of overlapping matches
 of one license the fullest counts, then the longest, then the first; one of another license gives
 way to a fuller one. Templates under five words are one shingle of all their words and match
 where a text has exactly these words in a row; such a match gives way to any longer template of
-its license. Repeated rows give repeated matches. Extra columns are ignored.
+its license. Without templates given, the library is library_texts(): short notices, paragraphs and
+full texts; an empty one matches nothing. Repeated rows give repeated matches. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,6 +51,16 @@ TEMPLATES = {
     "All rights reserved": ("All rights reserved. No part of this work may be reproduced", "All rights reserved."),
 }
 
+#: Full public texts that stand beside this module, by license.
+FULL = {"Apache-2.0": ("Apache-2.0",), "CC0-1.0": ("CC0-1.0",), "GPL-2.0": ("GPL-2",), "GPL-3.0": ("GPL-3",), "LGPL": ("LGPL-2.1", "LGPL-3"), "MPL-2.0": ("MPL-2.0",)}
+
+
+def library_texts() -> dict[str, tuple[str, ...]]:
+    """The default templates: short notices, characteristic paragraphs and full texts."""
+    texts = files("foliant.llm") / "texts"
+    return {name: (*own, *((texts / f"{x}.txt").read_text("utf-8") for x in FULL.get(name, ()))) for name, own in TEMPLATES.items()}
+
+
 #: Letters and digits in lower case; all other ASCII separates words.
 PLAIN = K.LOWER.copy()
 PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = 0x20
@@ -160,7 +173,7 @@ def find(data: np.ndarray, offsets: np.ndarray, lib: Library) -> list[tuple[int,
 
 def license_scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per match: doc_id, license, start_word, n_words, containment."""
-    own = TEMPLATES if templates is None else templates
+    own = library_texts() if templates is None else templates
     out = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("containment", pa.float64())])
 
     def scan(batches):
