@@ -112,11 +112,11 @@ def repeated_keys(keys: DataFrame) -> DataFrame:
 def level_sketch(keys: DataFrame) -> np.ndarray:
     """A fixed-size table with a byte for each of 2**LEVEL_BITS slots: 0 if no repeated key is there, else it rises with the logarithm of the greatest count."""
     level = F.least(F.lit(255), F.floor(F.log2("n") * 6)).cast("int")
-    return _slots(repeated_keys(keys).select(F.shiftrightunsigned("key", 64 - LEVEL_BITS).alias("slot"), level.alias("level")), LEVEL_BITS, 1 << 16, 8)
+    return _slots(repeated_keys(keys).select(F.shiftrightunsigned("key", 64 - LEVEL_BITS).alias("slot"), level.alias("level")), LEVEL_BITS, 1 << min(16, LEVEL_BITS), 8)
 
 
 def level_of(levels: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return levels[(keys.view(np.uint64) >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)]
+    return levels[(keys.view(np.uint64) >> np.uint64(65 - len(levels).bit_length())).astype(np.int64)]
 
 
 def join_keyed(big: DataFrame, keyed: DataFrame, on: list[str], how: str, rows: int | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The same rows as three of the queries in DuckDB's SQL, by plain comparison of all windows or pairs."""
+"""The same rows as five of the queries in DuckDB's SQL, by plain comparison of all windows or pairs."""
 
 from __future__ import annotations
 
@@ -61,4 +61,15 @@ SELECT doc_id, item_id, max(total)::BIGINT AS item_windows, count(DISTINCT k)::B
 GROUP BY doc_id, item_id HAVING count(DISTINCT k) >= {D.CONTAINMENT} * max(total)
 """
 
-ORACLE_SQL = {"op3_substring_dedup": SUBSTRING, "op4_line_dedup": lines.SQL, "op6_decontamination": DECONTAMINATION, "op10_ngram_join": NGRAM_JOIN}
+SUFFIX = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, j, substr(h, 2 * j + 1, 2) AS byte, CASE WHEN 2 * j + {2 * 100} <= length(h) THEN md5_number(substr(h, 2 * j + 1, {2 * 100})) END AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS j FROM d)),
+f AS (SELECT k, min(doc_id::HUGEINT * 4294967296 + j) AS place FROM b WHERE k IS NOT NULL GROUP BY k),
+l AS (SELECT doc_id, j, byte, coalesce(f.place < doc_id::HUGEINT * 4294967296 + j, false) AS late FROM b LEFT JOIN f ON f.k = b.k),
+g AS (SELECT doc_id, j, byte, bool_or(late) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM l),
+s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY j), false) AS head FROM g),
+t AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS removed, count(*) FILTER (head) AS spans, string_agg(byte, '' ORDER BY j) FILTER (NOT gone) AS kept FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
+ORACLE_SQL = {"op7_suffix_dedup": SUFFIX, "op3_substring_dedup": SUBSTRING, "op4_line_dedup": lines.SQL, "op6_decontamination": DECONTAMINATION, "op10_ngram_join": NGRAM_JOIN}
