@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import numpy as np
 
+# The format's 256 states in two tables, as they are of two kinds: of the steady ones each row stands
+# for a pair of states whose successors follow a rule, so only two numbers a pair are kept; of the
+# learning ones every successor is given, and they have no threshold.
 #: Fixed values: (probability, adaptation threshold) of the steady states, from the least certain on.
 STEADY = (
     (0x8000, 0x0000), (0x6BBD, 0x10A5), (0x5D45, 0x1F28), (0x51B9, 0x2BD3), (0x4813, 0x36E3), (0x3FD5, 0x408C), (0x38B1, 0x48FD), (0x3275, 0x505D),

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from .coder import Decoder, Encoder
+from .coder import Decoder, Encoder, P
 
 #: Record types in the order of their codes.
 START, MARK, MARK_LIBRARY, MARK_IMAGE, REFINE, REFINE_LIBRARY, REFINE_IMAGE, COPY, NON_MARK, DICT_OR_RESET, COMMENT, END = range(12)
@@ -122,22 +122,68 @@ class Codec:
 
     def plain(self, width: int, height: int, want: np.ndarray | None = None) -> np.ndarray:
         """A bitmap on its own, top row first, by the ten pixels above and before each."""
+        if want is None:
+            return self.plain_decoded(width, height)
         bitmap = np.zeros((height, width), np.uint8)
         above2 = above = [0] * (width + 6)
-        states, bit = self.direct, self.bit
         for y in range(height - 1, -1, -1):
             row = [0] * (width + 6)  # pixel x is at x + 2
-            wanted = None if want is None else want[y].tolist()
+            wanted = want[y].tolist()
             context = above2[2] << 8 | above2[3] << 7 | above[2] << 4 | above[3] << 3 | above[4] << 2
             for x in range(width):
-                n = bit(states, context, None if wanted is None else wanted[x])
-                row[x + 2] = n
+                n = row[x + 2] = self.coder.bit(self.direct, context, wanted[x])
                 if x + 1 < width:
                     context = context << 1 & 0x37A | above[x + 5] << 2 | above2[x + 4] << 7 | n
             bitmap[y] = row[2 : 2 + width]
             above2, above = above, row
         return bitmap
 
+    def plain_decoded(self, width: int, height: int) -> np.ndarray:
+        """The same, read. A symbol as likely as expected only moves the coder's interval, by a step that
+        depends on the context's state, so a run of white pixels under white rows is taken at once."""
+        bitmap = np.zeros((height, width), np.uint8)
+        states, coder, bit = self.direct, self.coder, self.coder.bit
+        above2 = above = bytearray(width + 6)
+        for y in range(height - 1, -1, -1):
+            row = bytearray(width + 6)  # pixel x is at x + 2
+            context = above2[2] << 8 | above2[3] << 7 | above[2] << 4 | above[3] << 3 | above[4] << 2
+            a, fence, x = coder.a, coder.fence, 0
+            clear = -1  # pixels below it have no ink above that they depend on; unknown yet
+            while x < width:
+                s = states[context]
+                step = P[s]
+                if not context and not s & 1:
+                    if clear < x:  # ink above enters the context of the pixel two or one before it
+                        near, far = above.find(1, x), above2.find(1, x)
+                        clear = min(near - 4 if near >= 0 else width, far - 3 if far >= 0 else width, width)
+                    if clear > x + 1 and step:
+                        n = min(clear - x, (fence - a) // step)
+                        if n > 0:
+                            a += n * step
+                            x += n
+                            if x >= width:
+                                break
+                            context = above[x + 4] << 2 | above2[x + 3] << 7
+                            context |= above2[x + 2] << 8 | above2[x + 1] << 9 | above[x + 3] << 3 | above[x + 2] << 4 | above[x + 1] << 5 | above[x] << 6
+                            continue
+                z = a + step
+                if z <= fence:
+                    a = z
+                    n = s & 1
+                else:
+                    coder.a = a
+                    n = bit(states, context)
+                    a, fence = coder.a, coder.fence
+                if n:
+                    row[x + 2] = 1
+                if x + 1 < width:
+                    context = context << 1 & 0x37A | above[x + 5] << 2 | above2[x + 4] << 7 | n
+                x += 1
+            coder.a = a
+            bitmap[y] = np.frombuffer(row, np.uint8, width, 2)
+            above2, above = above, row
+        return bitmap
+
     def refined(self, width: int, height: int, match: int, want: np.ndarray | None = None) -> np.ndarray:
         """A bitmap by four of its own pixels and seven of a library shape, centred on each other."""
         other = self.image.shape(self.library[match])

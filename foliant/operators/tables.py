@@ -162,20 +162,20 @@ def links(files: DataFrame) -> DataFrame:
     return rows(files, S.LINKS, link_rows)
 
 
-#: What a table's rows are made by, for the data source.
-MAKERS = {"documents": document_rows, "components": component_rows, "pages": page_rows, "chunks": chunk_rows, "text": text_rows, "zones": zone_rows, "links": link_rows}
+def outline_rows(path: str, content: bytes) -> Iterator[tuple]:
+    d = C.open_document(content)
+    if not d.error:
+        for n in text.outline(C.outline_payload(content, d.root)):
+            yield path, n.node_id, n.parent_id, n.depth, n.ordinal, n.title, n.url, None
 
 
 def outline_nodes(files: DataFrame) -> DataFrame:
     """Bookmarks in preorder, page_no still to be resolved (null)."""
+    return rows(files, S.OUTLINE, outline_rows)
 
-    def make(path, content):
-        d = C.open_document(content)
-        if not d.error:
-            for n in text.outline(C.outline_payload(content, d.root)):
-                yield path, n.node_id, n.parent_id, n.depth, n.ordinal, n.title, n.url, None
 
-    return rows(files, S.OUTLINE, make)
+#: What a table's rows are made by, for the data source and the SQL functions.
+MAKERS = {"documents": document_rows, "components": component_rows, "pages": page_rows, "chunks": chunk_rows, "text": text_rows, "zones": zone_rows, "outline_nodes": outline_rows, "links": link_rows}
 
 
 def outline(files: DataFrame) -> DataFrame:
@@ -185,19 +185,19 @@ def outline(files: DataFrame) -> DataFrame:
     return resolve_destinations(outline_nodes(files).drop("page_no"), pages(files).select("path", "page_no", "page_id"))
 
 
-def page_units(files: DataFrame) -> DataFrame:
-    """Pages on their own: the form's bytes and the dictionary's, dealt out by page, heavy ones apart."""
+def unit_rows(path: str, content: bytes) -> Iterator[tuple]:
+    d = C.open_document(content)
+    for p in d.pages:
+        own = list(C.chunks(content, p.offset))
+        last = max((c.start + c.size for c in own), default=p.offset + 12)
+        shared = next((c for c in own if c.id == "Djbz"), None)
+        source = shared or next((hit[0] for hit in [C.included(d, content, own, "Djbz")] if hit), None)
+        yield path, p.no, p.offset, last - p.offset, content[p.offset : last], C.payload(content, source) if source else None
 
-    def make(path, content):
-        d = C.open_document(content)
-        for p in d.pages:
-            own = list(C.chunks(content, p.offset))
-            last = max((c.start + c.size for c in own), default=p.offset + 12)
-            shared = next((c for c in own if c.id == "Djbz"), None)
-            source = shared or next((hit[0] for hit in [C.included(d, content, own, "Djbz")] if hit), None)
-            yield path, p.no, p.offset, last - p.offset, content[p.offset : last], C.payload(content, source) if source else None
 
-    return rows(files, S.UNITS, make).repartition("path", "page_no")
+def page_units(files: DataFrame) -> DataFrame:
+    """Pages on their own: the form's bytes and the dictionary's, dealt out by page, heavy ones apart."""
+    return rows(files, S.UNITS, unit_rows).repartition("path", "page_no")
 
 
 def _own(unit: bytes) -> list[C.Chunk]:
@@ -217,7 +217,7 @@ def mask_of(unit: bytes, dictionary: bytes | None) -> jb2.Image | None:
     return jb2.decode(C.payload(unit, found), base)
 
 
-def _masks(units: DataFrame, schema: str, of: Callable[[jb2.Image], Iterator[tuple]]) -> DataFrame:
+def _mask_rows(of: Callable[[jb2.Image], Iterator[tuple]]) -> Callable[..., Iterator[tuple]]:
     def make(path, page_no, own, dictionary):
         try:
             image = mask_of(own, dictionary)
@@ -227,7 +227,15 @@ def _masks(units: DataFrame, schema: str, of: Callable[[jb2.Image], Iterator[tup
             for row in of(image):
                 yield path, page_no, *row
 
-    return rows(units, schema, make)
+    return make
+
+
+def _records(im: jb2.Image) -> Iterator[tuple]:
+    return ((jb2.NAMES[k], n) for k, n in enumerate(im.histogram) if n)
+
+
+def _runs(im: jb2.Image) -> Iterator[tuple]:
+    return ((i, *r) for i, runs in raster.placed_runs(im) for r in runs.tolist())
 
 
 def jb2_shapes(units: DataFrame) -> DataFrame:
@@ -236,21 +244,21 @@ def jb2_shapes(units: DataFrame) -> DataFrame:
             own = n - len(im.inherited)
             yield n, im.parents[own] if own >= 0 else -1, s.shape[1], s.shape[0], own < 0, raster.pack(s)
 
-    return _masks(units, S.SHAPES, of)
+    return rows(units, S.SHAPES, _mask_rows(of))
 
 
 def jb2_blits(units: DataFrame) -> DataFrame:
-    return _masks(units, S.BLITS, lambda im: ((i, n, left, bottom) for i, (left, bottom, n) in enumerate(im.blits)))
+    return rows(units, S.BLITS, _mask_rows(lambda im: ((i, n, left, bottom) for i, (left, bottom, n) in enumerate(im.blits))))
 
 
 def jb2_records(units: DataFrame) -> DataFrame:
     """How many records of each type a page's stream has."""
-    return _masks(units, S.RECORDS, lambda im: ((jb2.NAMES[k], n) for k, n in enumerate(im.histogram) if n))
+    return rows(units, S.RECORDS, _mask_rows(_records))
 
 
 def ink_runs(units: DataFrame) -> DataFrame:
     """Runs of ink on the page, placement by placement, half open, bottom-up and unclipped."""
-    return _masks(units, S.INK_RUNS, lambda im: ((i, *r) for i, runs in raster.placed_runs(im) for r in runs.tolist()))
+    return rows(units, S.INK_RUNS, _mask_rows(_runs))
 
 
 def _palette(unit: bytes) -> C.Palette | None:
@@ -434,6 +442,35 @@ def blob_texts(blobs: DataFrame) -> DataFrame:
     return rows(blobs, "path string, page_no int, text string", make)
 
 
+def _unit_table(make: Callable[..., Iterator[tuple]]) -> Callable[..., Iterator[tuple]]:
+    return lambda path, content: (row for _, page_no, _, _, own, dictionary in unit_rows(path, content) for row in make(path, page_no, own, dictionary))
+
+
+#: Names of SQL table functions of a file's content: what makes the rows, and their schema with the path in front.
+SQL_FUNCTIONS = {
+    "doc_zones": (zone_rows, S.ZONES),
+    "doc_outline": (outline_rows, S.OUTLINE),
+    "doc_links": (link_rows, S.LINKS),
+    "doc_jb2_records": (_unit_table(_mask_rows(_records)), S.RECORDS),
+    "doc_ink_runs": (_unit_table(_mask_rows(_runs)), S.INK_RUNS),
+}
+
+
+def register_functions(spark: SparkSession) -> None:
+    """SQL_FUNCTIONS as table functions, for `SELECT ... FROM files, LATERAL doc_zones(content)`."""
+
+    def table_function(make, schema):
+        class Rows:
+            def eval(self, content: bytes):
+                for _, *row in make("", bytes(content)) if content is not None else ():
+                    yield tuple(row)
+
+        return F.udtf(Rows, returnType=schema.removeprefix("path string, "))
+
+    for name, (make, schema) in SQL_FUNCTIONS.items():
+        spark.udtf.register(name, table_function(make, schema))
+
+
 def unpack_stream(streams: DataFrame, column: str = "payload") -> DataFrame:
     """All columns, and `raw`: the block-sorted stream of a column decompressed, null if corrupt."""
     def raw(x: pd.Series) -> pd.Series:

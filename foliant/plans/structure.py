@@ -348,3 +348,45 @@ def mask_runs(spark, sf_dir):
     runs = tables.ink_runs(tables.page_units(X.pack(turns, make)))
     total = runs.groupBy("path", "page_no").agg(F.min("x0").alias("x0"), F.min("y").alias("y0"), (F.max("x1") - 1).alias("x1"), F.max("y").alias("y1"), F.sum(F.col("x1") - F.col("x0")).alias("ink"))
     return total.select(key("conv_id"), *long("page_no", "x0", "y0", "x1", "y1", "ink"))
+
+
+# --- SQL table functions --------------------------------------------------------------------------
+
+
+def in_sql(spark, files, sql: str):
+    """A query in Spark's SQL over a frame named {files}, with the table functions registered."""
+    tables.register_functions(spark)
+    return spark.sql(sql, files=files)
+
+
+@query("SELECT item_id, sum(len(string_split(line, ' ')))::BIGINT AS words, count(*)::BIGINT AS lines FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark) GROUP BY item_id")
+def zones_in_sql(spark, sf_dir):
+    return in_sql(spark, benchmark_files(spark, sf_dir), "SELECT cast(path AS bigint) AS item_id, count_if(z.type = 6) AS words, count_if(z.type = 5) AS lines FROM {files}, LATERAL doc_zones(content) z GROUP BY path")
+
+
+@query("SELECT conv_id, turn + 1 AS node_id, role AS title FROM conversations")
+def outline_in_sql(spark, sf_dir):
+    return in_sql(spark, conversation_files(spark, sf_dir), "SELECT cast(path AS bigint) AS conv_id, cast(o.node_id AS bigint) AS node_id, o.title FROM {files}, LATERAL doc_outline(content) o WHERE o.depth = 1")
+
+
+@query("SELECT p_size, 4::BIGINT AS ink, 2::BIGINT AS records, 'https://example.org/' || p_size AS url FROM (SELECT DISTINCT p_size FROM part)")
+def marks_in_sql(spark, sf_dir):
+    """Links, records and ink of a page, each by its table function."""
+
+    def make(p_size):
+        mask = jb2.encode(20, 20, [(np.ones((2, 2), np.uint8), 3, 4)])
+        note = f"(maparea {X.quoted(f'https://example.org/{p_size}')} {X.quoted('')} (rect 0 0 9 9))"
+        return str(p_size), X.single(X.info(20, 20), X.chunk("Sjbz", mask), X.chunk("ANTa", note.encode()))
+
+    files = X.pack(table(spark, sf_dir, "part").select("p_size").distinct(), make)
+    return in_sql(spark, files, """SELECT cast(a.path AS int) AS p_size, a.ink, b.records, c.url FROM (SELECT path, sum(r.x1 - r.x0) AS ink FROM {files}, LATERAL doc_ink_runs(content) r GROUP BY path) a
+    JOIN (SELECT path, sum(n) AS records FROM {files}, LATERAL doc_jb2_records(content) WHERE record_type IN ('start', 'new mark') GROUP BY path) b ON a.path = b.path JOIN (SELECT path, l.url FROM {files}, LATERAL doc_links(content) l) c ON a.path = c.path""")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'djvm' WHEN 1 THEN 'bundled' ELSE 'single' END AS kind, (o_orderkey % 3 = 1)::BIGINT + (o_orderkey % 3 = 2)::BIGINT AS pages FROM orders")
+def pageless_bundles(spark, sf_dir):
+    """Bundles without a page are of a kind of their own."""
+    page = X.form("DJVU", X.info(10, 10))
+    data = (X.bundle([("s", None, 0, X.form("DJVI", X.chunk("ANTa", b"(a)")))]), X.bundle([("p", None, 1, page)]), b"AT&T" + page)
+    kinds = R.container_kind(tables.documents(X.pack(table(spark, sf_dir, "orders").select("o_orderkey"), lambda o_orderkey: (str(o_orderkey), data[o_orderkey % 3]))))
+    return kinds.select(key("o_orderkey"), "kind", F.col("n_pages").cast("long").alias("pages"))

@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from foliant import schemas as S
 
-TABLES = {"documents": S.DOCUMENTS, "components": S.COMPONENTS, "pages": S.PAGES, "chunks": S.CHUNKS, "text": S.TEXT, "zones": S.ZONES, "links": S.LINKS}
+TABLES = {"documents": S.DOCUMENTS, "components": S.COMPONENTS, "pages": S.PAGES, "chunks": S.CHUNKS, "text": S.TEXT, "zones": S.ZONES, "outline_nodes": S.OUTLINE, "links": S.LINKS}
 
 
 class LayeredDocSource(DataSource):
