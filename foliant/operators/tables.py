@@ -379,18 +379,36 @@ def composed(unit: bytes, i: C.Info, mask: jb2.Image | None, sub: int, most_chun
     return page
 
 
-def renders(units: DataFrame, subsample: int = 1, compose: bool = True, bgr: bool = False, most_chunks: int = 0) -> DataFrame:
-    """Rendered pages, turned as their INFO says."""
+def plan_unit(unit: bytes, sub: int = 1, compose: bool = True) -> tuple[int, int, int] | None:
+    """Height, width and samples a pixel that a page's metadata promise; None if they promise nothing."""
+    own = _own(unit)
+    ids, i = {c.id for c in own}, C.page_info(unit, own)
+    back = bool(ids & set(C.BACKGROUNDS))
+    code = page_type("Sjbz" in ids, back, bool(ids & {"FG44", "FGbz"}))
+    colour = compose and code in (2, 3) and back
+    if not i or i.width <= 0 or i.height <= 0 or not (colour or code == 0 or "Sjbz" in ids):
+        return None
+    size = -(-i.height // max(sub, 1)), -(-i.width // max(sub, 1))
+    return (*(size[::-1] if i.rotation in (90, 270) else size), 3 if colour else 1)
+
+
+def renders(units: DataFrame, subsample: int = 1, compose: bool = True, bgr: bool = False, most_chunks: int = 0, exact: bool = False) -> DataFrame:
+    """Rendered pages, turned as their INFO says. exact: what isn't of the size and format that the page's metadata promise is an error, such as a mask alone where a background can't be used."""
 
     def make(path, page_no, own, dictionary):
+        def failed(why):
+            return path, page_no, max(subsample, 1), None, None, None, None, None, why
+
         try:
             p = render_unit(own, dictionary, subsample, compose, bgr, most_chunks)
-            if p is not None:
-                yield image_row(path, page_no, max(subsample, 1), p)
+            if p is None:
+                yield failed("nothing to render")
+            elif exact and plan_unit(own, subsample, compose) != (*p.shape[:2], 1 if p.ndim == 2 else 3):
+                yield failed("not as planned")
             else:
-                yield path, page_no, max(subsample, 1), None, None, None, None, None, "nothing to render"
+                yield image_row(path, page_no, max(subsample, 1), p)
         except (jb2.Broken, iw44.Broken) as e:
-            yield path, page_no, max(subsample, 1), None, None, None, None, None, str(e) or type(e).__name__
+            yield failed(str(e) or type(e).__name__)
 
     return rows(units, S.RENDERS, make)
 

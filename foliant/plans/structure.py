@@ -390,3 +390,18 @@ def pageless_bundles(spark, sf_dir):
     data = (X.bundle([("s", None, 0, X.form("DJVI", X.chunk("ANTa", b"(a)")))]), X.bundle([("p", None, 1, page)]), b"AT&T" + page)
     kinds = R.container_kind(tables.documents(X.pack(table(spark, sf_dir, "orders").select("o_orderkey"), lambda o_orderkey: (str(o_orderkey), data[o_orderkey % 3]))))
     return kinds.select(key("o_orderkey"), "kind", F.col("n_pages").cast("long").alias("pages"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 2 THEN 10 WHEN 4 THEN 15 ELSE 20 END::BIGINT AS width, CASE p_partkey % 5 WHEN 2 THEN 5 WHEN 4 THEN 20 ELSE 15 END::BIGINT AS height, CASE p_partkey % 5 WHEN 0 THEN 'RGB24' ELSE 'GRAY8' END AS format, CASE WHEN p_partkey % 5 IN (1, 2) THEN 'not as planned' END AS error FROM part""")
+def exact_renders(spark, sf_dir):
+    """Pages at half size, and which of them an exact rendering refuses: a background that can't be used, a mask of another size."""
+
+    def make(p_partkey):
+        kind = p_partkey % 5
+        mask = X.chunk("Sjbz", jb2.encode(20, 10, [(np.ones((2, 2), np.uint8), 3, 4)]) if kind == 2 else jb2.encode(40, 30, [(np.ones((2, 2), np.uint8), 3, 4)]))
+        layers = {0: [X.chunk("BG44", ground(20, 15))], 1: [mask, X.chunk("BG44", b"\0\0\2\0")], 2: [mask], 3: [mask], 4: [mask]}
+        return str(p_partkey), X.single(X.info(40, 30, flags=6 if kind == 4 else 1), *layers[kind])
+
+    units = tables.page_units(X.pack(table(spark, sf_dir, "part").select("p_partkey"), make))
+    exact = tables.renders(units, 2, exact=True).select("path", "error")
+    return tables.renders(units, 2).drop("error").join(exact, "path").select(key("p_partkey"), *long("width", "height"), "format", "error")
