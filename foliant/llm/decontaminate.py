@@ -15,10 +15,10 @@ count as one document. Null ids are kept: they match as any other. Extra columns
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import LAST_ID, cut, join_keyed, packed_rows
+from .shared import LAST_ID, cut, discard, join_keyed, packed_rows
 
 WORDS = 5
 CONTAINMENT = 0.8
@@ -53,10 +53,12 @@ def is_slot(w: str) -> str:
 
 
 def windows(rows: DataFrame, words: int) -> DataFrame:
-    """The columns of rows but `ws`, then key and pos of every template window."""
-    at = [f"hs[p + {k}]" for k in range(words)]
+    """The columns of rows but `ws`, then key and pos of every template window. Shifted copies of the hashes are zipped, so that windows are made and hashed in generated code."""
+    others = [c for c in rows.columns if c != "ws"]
+    shifted = ", ".join(f"slice(hs, {k + 1}, size(hs))" for k in range(words))
     full = rows.withColumn("hs", F.expr(f"transform(ws, w -> {_template('w')})"))
-    return full.select(*[c for c in rows.columns if c != "ws"], F.expr(f"inline(if(size(hs) >= {words}, transform(sequence(0, size(hs) - {words}), p -> named_struct('key', xxhash64({', '.join(at)}), 'pos', p)), array()))"))
+    each = full.select(*others, F.posexplode(F.expr(f"if(size(hs) >= {words}, slice(arrays_zip({shifted}), 1, size(hs) - {words - 1}), array())")).alias("pos", "z"))
+    return each.select(*others, F.expr(f"xxhash64({', '.join(f'z.`{k}`' for k in range(words))})").alias("key"), "pos")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = WORDS, containment: float = CONTAINMENT) -> DataFrame:
@@ -68,19 +70,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     iw = iw.select("item", "it", "key", "pos", F.slice("ws", F.col("pos") + 1, F.lit(words)).alias("iw"))
     index = cut(iw.withColumn("total", F.expr("size(collect_set(key) over (partition by item, it))")))
     keys = cut(index.select("key").distinct())
-    source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(F.col(text)).alias("th"), typed_words(F.col(text)).alias("ws"))
-    n_keys, n_rows = keys.count(), index.count()
-    hits = join_keyed(windows(source, words).withColumnRenamed("pos", "dp"), keys, ["key"], "inner", rows=n_keys).select("id", "th", "key", "dp").distinct()
-    hits = cut(hits)
-    enough = f"count(distinct key) >= {containment} * max(total)"
-    pairs = join_keyed(hits.select("id", "th", "key").distinct(), index.select("item", "it", "key", "total").distinct(), ["key"], "inner", rows=n_rows)
-    candidates = cut(pairs.groupBy("id", "th", "item", "it").agg(F.expr(enough).alias("enough"), F.max("total").alias("total")).where("enough").drop("enough"))
-    # slots of the candidates' matched windows, read from the texts of those documents alone
+    source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("t"))
+    hits = cut(join_keyed(windows(source.select("id", "th", typed_words(F.col("t")).alias("ws")), words).withColumnRenamed("pos", "dp"), keys, ["key"], "inner").distinct())
+    # an item's least frequent windows, as many as cannot all be missing, bring documents to it, so windows that are common in the corpus pair nothing; then all windows count
+    frequent = hits.groupBy("key").agg(F.count("*").alias("df"))
+    rarest = Window.partitionBy("item", "it").orderBy("df", "key")
+    distinct_keys = index.select("item", "it", "key", "total").distinct()
+    probe = cut(distinct_keys.join(frequent, "key", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("rank", F.row_number().over(rarest)).where(f"rank <= total - ceil({containment} * total) + 1 and df > 0").select("item", "it", "key"))
+    found = hits.select("id", "th", "key").distinct()
+    pairs = join_keyed(found, probe, ["key"], "inner").select("id", "th", "item", "it").distinct()
+    shared = join_keyed(found.join(pairs, ["id", "th"]), index.select("item", "it", "key", "total").distinct(), ["item", "it", "key"], "inner", rows=index.count())
+    candidates = cut(shared.groupBy("id", "th", "item", "it").agg(F.count("*").alias("n"), F.max("total").alias("total")).where(f"n >= {containment} * total").drop("n"))
+    # the slots of the candidates' matched windows: the texts of those documents alone are typed again, once
     own = cut(candidates.select("id", "th").distinct())
-    n_own = own.count()
-    ws = join_keyed(source, own, ["id", "th"], "left_semi", rows=n_own).dropDuplicates(["id", "th"])
-    placed = join_keyed(hits.join(candidates, ["id", "th"]), index.drop("total"), ["item", "it", "key"], "inner", rows=n_rows)
-    matched = placed.join(ws, ["id", "th"]).select("id", "th", "item", "it", "total", "key", "pos", "dp", "iw", F.slice("ws", F.col("dp") + 1, F.lit(words)).alias("dw"))
+    ws = join_keyed(source, own, ["id", "th"], "left_semi").groupBy("id", "th").agg(F.first("t").alias("t")).select("id", "th", typed_words(F.col("t")).alias("ws"))
+    placed = join_keyed(hits.join(candidates, ["id", "th"]), index.drop("total"), ["item", "it", "key"], "inner")
+    matched = cut(placed.join(ws, ["id", "th"]).select("id", "th", "item", "it", "total", "key", "pos", "dp", "iw", F.slice("ws", F.col("dp") + 1, F.lit(words)).alias("dw")))
+    discard(keys, hits, probe, candidates, own, index)
     slots = matched.selectExpr("id", "th", "item", "it", "key", "pos", "dp", f"inline(filter(transform(iw, (w, k) -> named_struct('a', w, 'b', dw[k])), x -> {is_slot('x.a')}))")
     group = ["id", "th", "item", "it"]
     # of several places of a window, the one that agrees with the most others decides: places are told apart by their shift
