@@ -77,7 +77,7 @@ def bundle(components: list[tuple[str, str | None, int, bytes]], *root: bytes) -
 
 
 def pack(table: DataFrame, make: Callable[..., tuple[str, bytes]]) -> DataFrame:
-    """Files (path, length, content) made from the rows of a table by make(**row)."""
+    """Files (path, length, content) made from the rows of a table by make(**row), dealt out over all cores, as a small table is one file."""
     names = table.columns
     schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
 
@@ -88,4 +88,4 @@ def pack(table: DataFrame, make: Callable[..., tuple[str, bytes]]) -> DataFrame:
                 part = files[i : i + 256]
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in part], pa.string()), pa.array([len(c) for _, c in part], pa.int64()), pa.array([c for _, c in part], pa.binary())], schema=schema)
 
-    return table.mapInArrow(run, "path string, length long, content binary")
+    return table.repartition(table.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "path string, length long, content binary")

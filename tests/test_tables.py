@@ -204,3 +204,21 @@ def test_size_limits(spark):
     assert row.error == "page size" and row.data is None
     with pytest.raises(iw44.Broken):
         tables.render_unit(huge[4:], None)
+
+
+def test_tsv_and_sql_functions(spark, tmp_path):
+    table = spark.createDataFrame([("a", 1, None), ("b\tc", 2, "x y")], "path string, n int, note string")
+    inventory.write_tsv(table, str(tmp_path / "dump"))
+    back = spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "dump"))
+    assert back.columns == ["path", "n", "note"] and sorted((r.path, r.n, r.note) for r in back.collect()) == [("a", "1", None), ("b\tc", "2", "x y")]
+    tables.register_functions(spark)
+    some = files(spark, ("x", X.single(X.info(10, 5))), ("broken", b"no container"))
+    for name in tables.SQL_FUNCTIONS:
+        assert spark.sql(f"SELECT path FROM {{f}}, LATERAL {name}(content)", f=some).count() == 0
+        assert spark.sql(f"SELECT * FROM {name}(CAST(NULL AS binary))").count() == 0
+
+
+def test_blobs_that_end_early(spark):
+    blobs = spark.createDataFrame([("a", b"\0\0\0\2hi\0\0\0\0\0\0\0\x09cut", 4), ("b", b"", 1), ("c", b"\0\0", 2)], "path string, blob binary, n_pages int")
+    got = {(r.path, r.page_no): r.text for r in tables.blob_texts(blobs).collect()}
+    assert got == {("a", 0): "hi", ("a", 1): "", ("a", 2): "", ("a", 3): "", ("b", 0): "", ("c", 0): "", ("c", 1): ""}
