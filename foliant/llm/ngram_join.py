@@ -10,9 +10,10 @@ similarity reaches SIMILARITY; the result is each document's connected component
    so a full table makes prefixes longer lived, but settles nothing wrongly and lets no set through
    that shares none. Sets equal to each other are one from here on.
 3. All who share a prefix shingle meet in the cell of the least of them; only those sets are made
-   of their texts again. A cell beyond CELL bytes is compared with one of its sets, its pivot,
-   first, in blocks; those that link with the pivot are joined and needn't be compared with each
-   other, so pairs of blocks are dealt out only of the rest against all.
+   of their texts again. A cell beyond CELL bytes is compared with its pivot first, in blocks: the
+   set with most copies and most of its prefix shared, as the original of near copies. Those that link
+   with it are joined and needn't be compared with each other, so pairs of blocks are dealt out
+   only of the rest against all, and each of the rest gives one edge a pair to what is joined.
 4. In a cell, inverted lists are searched as in DivideSkip: a set's short lists are merged by
    counting, the few longest are only probed by binary search for documents whose count can
    still reach the overlap T. Documents of a component that is already joined are not verified
@@ -45,7 +46,7 @@ COUNTED = 80
 #: DivideSkip's cost ratio; larger than for heaps, as merging by counting is cheap next to a probe here.
 MU = 0.085
 #: Bytes of shingle hashes that a cell may hold before it is dealt out.
-CELL = 1 << 18
+CELL = 2 << 20
 #: Level (of the table) up to which a shingle's sets, some thousand at most, may meet in one task.
 COMMON = 60
 
@@ -95,11 +96,15 @@ def prefix_tokens(g: np.ndarray, levels: np.ndarray, similarity: tuple[int, int]
 class Cell:
     """Sets of one cell: an inverted index, and a search of it that joins components."""
 
-    def __init__(self, sets: list[np.ndarray], side: np.ndarray, similarity: tuple[int, int]):
+    def __init__(self, sets: list[np.ndarray], side: np.ndarray, similarity: tuple[int, int], joined: np.ndarray | None = None):
+        """joined: sets that are known to be of one component."""
         self.order = np.argsort([len(x) for x in sets], kind="stable")
         self.sets, self.side, self.similarity = [sets[i] for i in self.order], side[self.order], similarity
         self.size = np.array([len(x) for x in self.sets])
-        self.parent = list(range(len(sets)))
+        one = np.flatnonzero(joined[self.order]) if joined is not None else []
+        self.root = np.arange(len(sets))
+        self.root[one] = one[0] if len(one) else 0
+        self.parent = self.root.tolist()
 
     def find(self, i: int) -> int:
         while self.parent[i] != i:
@@ -123,7 +128,7 @@ class Cell:
         lists = doc[order]  # ascending in each list, so by size
         head = np.concatenate([[0], np.cumsum(np.bincount(token))])
         at = np.concatenate([[0], np.cumsum(self.size)])
-        root = np.arange(len(self.sets))
+        root = self.root
         for x in range(1, len(self.sets)):
             low = int(np.searchsorted(self.size, least_overlap(int(self.size[x]), self.similarity)))
             if low >= x:
@@ -224,9 +229,9 @@ def grouped(docs: DataFrame, doc_id: str, text: str, words: int, similarity: tup
                 few, many = ([x[k].tobytes() if len(x[k]) else None for x in own] for k in (0, 1))
                 yield batch(sets, b.column("id").slice(i, j - i), b.column("th").slice(i, j - i), n, pa.array(c1, mask=n == 0), pa.array(c2, mask=n == 0), few, many)
 
-    every = cut(source.mapInArrow(lean(describe), "id long, th long, n long, c1 long, c2 long, few binary, many binary"))
-    first = F.min(F.struct("id", "th")).alias("first")
-    reps = cut(every.where("n > 0").groupBy("c1", "c2").agg(first, F.count("*").alias("k"), F.first("n").alias("n"), F.first("few").alias("few"), F.first("many").alias("many")).select("first.id", "first.th", "c1", "c2", "k", "n", "few", "many", F.xxhash64("first.id", "c1").alias("node")))
+    every = cut(source.mapInArrow(lean(describe), "id long, th long, n long, c1 long, c2 long, few binary, many binary"), wide=True)
+    least = (F.min("id").alias("id"), F.min_by("th", "id").alias("th"))
+    reps = cut(every.where("n > 0").groupBy("c1", "c2").agg(*least, F.count("*").alias("k"), F.first("n").alias("n"), F.first("few").alias("few"), F.first("many").alias("many")).select("id", "th", "c1", "c2", "k", "n", "few", "many", F.xxhash64("id", "c1").alias("node")))
     tokens = pa.schema([("token", pa.int64()), ("node", pa.int64())])
 
     def listed(kind: str) -> DataFrame:
@@ -242,9 +247,11 @@ def grouped(docs: DataFrame, doc_id: str, text: str, words: int, similarity: tup
     near = listed("few").withColumn("head", F.min("node").over(each)).withColumn("k", F.count("*").over(each)).where("k > 1").select("head", "node")
     heads = cut(listed("many").groupBy("token").agg(F.min("node").alias("head"), F.count("*").alias("k")).where("k > 1").select("token", "head"))
     members = cut(near.union(join_keyed(listed("many"), heads, ["token"], "inner").select("head", "node")).distinct())
-    sized = cut(members.join(reps.select("node", (F.col("n") * 8).alias("bytes")), "node"))
-    cells = cut(sized.groupBy("head").agg(F.ceil(F.sum("bytes") / CELL).cast("int").alias("blocks"), F.count("*").alias("k")).where("k > 1").select("head", "blocks"))
-    placed = cut(join_keyed(sized, cells, ["head"], "inner"))
+    # how many copies a set has, and how much of its prefix others share: the set that the others are copies of has most
+    typical = (F.col("k") * 16 + (F.coalesce(F.octet_length("few"), F.lit(0)) + F.coalesce(F.octet_length("many"), F.lit(0))) / F.col("n")).cast("double").alias("typical")
+    sized = cut(members.join(reps.select("node", (F.col("n") * 8).alias("bytes"), typical), "node"))
+    cells = cut(sized.groupBy("head").agg(F.ceil(F.sum("bytes") / CELL).cast("int").alias("blocks"), F.max_by("node", "typical").alias("pivot"), F.count("*").alias("k")).where("k > 1").select("head", "blocks", "pivot"))
+    placed = cut(join_keyed(sized.drop("typical"), cells, ["head"], "inner"))
     discard(heads, members, sized)
     met = cut(placed.select("node").distinct())
     chosen = cut(join_keyed(reps.select("id", "th", "node"), met, ["node"], "left_semi"))
@@ -257,7 +264,7 @@ def grouped(docs: DataFrame, doc_id: str, text: str, words: int, similarity: tup
                 yield batch(grams, b.column("node").slice(i, j - i), [g[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
 
     texts = join_keyed(source, chosen, ["id", "th"], "inner").groupBy("id", "th").agg(F.first("node").alias("node"), F.first("text").alias("text"))
-    own_sets = cut(texts.select("node", "text").mapInArrow(lean(again), "node long, grams binary"))
+    own_sets = cut(texts.select("node", "text").mapInArrow(lean(again), "node long, grams binary"), wide=True)
     discard(met, chosen)
 
     def dealt(rows: DataFrame) -> DataFrame:
@@ -287,7 +294,8 @@ def grouped(docs: DataFrame, doc_id: str, text: str, words: int, similarity: tup
 
     def search(rows):
         if len(rows) > 1:
-            for x, y in Cell([r[1] for r in rows], np.array([r[3] for r in rows]), similarity).edges(rows[0][2]):
+            side = np.array([r[3] for r in rows])
+            for x, y in Cell([r[1] for r in rows], np.minimum(side, 1), similarity, side == 2).edges(rows[0][2]):
                 yield rows[x][0], rows[y][0]
 
     def to_pivot(rows):
@@ -304,22 +312,23 @@ def grouped(docs: DataFrame, doc_id: str, text: str, words: int, similarity: tup
     tables = []
     if not large.isEmpty():
         subcell = F.xxhash64("head", F.lit(1), "j").alias("cell")
-        pivots = cells.where("blocks > 1").select("head", F.explode(F.expr("sequence(0, blocks - 1)")).alias("j"))
-        star = cut(dealt(large.select(subcell, no, none, "node").union(pivots.select(subcell, no, F.lit(-1), F.col("head").alias("node")))).mapInArrow(by_cell(to_pivot), "a long, b long"))
-        # the rest against all: blocks of the rest, of which each meets each block of the cell
-        rest = cut(large.join(star.select(F.col("a").alias("head"), F.col("b").alias("node")), ["head", "node"], "left_anti").where("node <> head"))
+        pivots = cells.where("blocks > 1").select("head", "pivot", F.explode(F.expr("sequence(0, blocks - 1)")).alias("j"))
+        star = cut(dealt(large.select(subcell, no, none, "node").union(pivots.select(subcell, no, F.lit(-1), F.col("pivot").alias("node")))).mapInArrow(by_cell(to_pivot), "a long, b long"), wide=True)
+        # the rest against all: blocks of the rest, of which each meets each block of the cell; those with the pivot are known to be one component
+        with_pivot = large.join(star.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.lit(True).alias("starred")).distinct(), ["pivot", "node"], "left")
+        large = cut(with_pivot.withColumn("starred", F.coalesce("starred", F.col("node") == F.col("pivot"))))
+        rest = cut(large.where("not starred"))
         parts = cut(rest.groupBy("head").agg(F.ceil(F.sum("bytes") / CELL).cast("int").alias("parts")))
         pair = F.xxhash64("head", F.lit(2), "i", "j").alias("cell")
         left = join_keyed(rest, parts, ["head"], "inner").withColumn("i", F.expr("cast(pmod(xxhash64(node, 1), parts) as int)")).withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)")))
         right = join_keyed(large, parts, ["head"], "inner").withColumn("i", F.explode(F.expr("sequence(0, parts - 1)")))
-        both = left.select(pair, yes, none, "node").union(right.select(pair, yes, F.lit(1), "node"))
+        both = left.select(pair, yes, none, "node").union(right.select(pair, yes, F.expr("if(starred, 2, 1)"), "node"))
         links = links.union(star).union(dealt(both).mapInArrow(by_cell(search), "a long, b long"))
-        tables = [star, rest, parts]
+        tables = [star, rest, parts, large]
     found = cut(components(links))
     discard(own_sets, placed, cells, *tables)
     linked = reps.select("node", "id").join(found, "node")
-    least = linked.groupBy("component").agg(F.min("id").alias("least"))
-    group = found.join(least, "component")
+    group = found.join(linked.groupBy("component").agg(F.min("id").alias("least")), "component")
     classes = cut(reps.select("c1", "c2", "k", "id", "node").join(group, "node", "left").where("k > 1 or component is not null").select("c1", "c2", F.coalesce("component", "node").alias("group"), F.coalesce("least", "id").alias("least")))
     discard(found, reps)
     return join_keyed(every.select("id", "th", "n", "c1", "c2"), classes, ["c1", "c2"], "left").select("id", "th", "n", "group", "least")

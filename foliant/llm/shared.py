@@ -43,11 +43,22 @@ def _file_system(spark: SparkSession, path: str):
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends there, and a lost executor loses nothing. The files go by `discard`, or when the driver ends."""
+#: Rows to an Arrow batch where rows hold whole texts or sets, so that a batch's memory is bounded.
+WIDE_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def cut(df: DataFrame, wide: bool = False) -> DataFrame:
+    """Write a frame to the shared folder and read it back: lineage ends there, and a lost executor loses nothing. The files go by `discard`, or when the driver ends. wide: Python stages get their rows in smaller batches."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/foliant-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    try:
+        if wide:
+            spark.conf.set(_BATCH, str(min(int(before), WIDE_ROWS)) if int(before) > 0 else str(WIDE_ROWS))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     system, place = _file_system(spark, path)
     system.deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
@@ -135,7 +146,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Rounds end when nothing changes; each round's labels are cut, so a lost executor costs one
     round at most. Least labels are aggregates with partial minima, also for hubs.
     """
-    edges = cut(edges.where("a <> b").select(F.expr("inline(array(named_struct('a', a, 'b', b), named_struct('a', b, 'b', a)))")).distinct())
+    edges = cut(edges.where("a <> b").select(F.expr("inline(array(named_struct('a', a, 'b', b), named_struct('a', b, 'b', a)))")).distinct(), wide=True)
     before = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
     labels = before
     for _ in range(rounds):
