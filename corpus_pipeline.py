@@ -6,6 +6,8 @@ decisions take effect; all but the last return the columns of documents.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,21 @@ from foliant.llm import langid, lines, ngram_join, packing
 from foliant.llm.shared import cut
 
 
+#: Rows to an Arrow batch: rows hold whole texts, and a batch's memory is to be bounded.
+BATCH_ROWS = 1000
+
+
+def small_batches(stage):
+    """The same stage in a session whose Python stages take BATCH_ROWS rows at a time; the session keeps the setting, as a stage's work begins after it returns."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language isn't identified with a score of 0.5 go; of the others, lang takes the prediction."""
     return langid.keep_identified(docs, langid.train(docs))
@@ -37,13 +54,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 ids, one row per piece."""
+    """Sequences of at most 2048 ids, one row per piece with its ids."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [("language ID", language), ("line dedup", dedup_lines), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontaminate), ("packing", pack)]
+STAGES = [(name, small_batches(stage)) for name, stage in STAGES]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
