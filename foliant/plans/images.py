@@ -108,7 +108,7 @@ def layer(key: int, width: int, height: int, down: bool = False, planes: int = 3
     return out
 
 
-def samples_sql(extent: str, down: bool = False, planes: int = 3, half: str = "false", source: str = "part", key: str = "p_size") -> str:
+def samples_sql(extent: str, down: bool = False, planes: int = 3, half: str = "false", source: str = "part", key: str = "p_size", passes: int = PASSES) -> str:
     """CTEs that end in `sample` (k, p, x, n, v: signed 8-bit): target, quantiser, and the inverse transform along one axis."""
     amplitude = "CASE " + " ".join(f"WHEN x % {m} = {r} THEN {a}" for m, r, a, *_ in KINDS) + " END"
     step = "CASE " + " ".join(f"WHEN x % {m} = {r} THEN {d if down else s}" for m, r, _, s, d in KINDS) + " END"
@@ -116,7 +116,7 @@ def samples_sql(extent: str, down: bool = False, planes: int = 3, half: str = "f
     parts = [
         f"page AS (SELECT DISTINCT {key} AS k, ({extent})::BIGINT AS n, ({half}) AS half FROM {source})",
         f"aim AS (SELECT k, p, x, n, half, ((k * 37 + x * 13 + p * 101) % 97 - 48) * {amplitude} AS v, {step} AS s FROM page, range(0, {planes}) a(p), range(0, 200) b(x) WHERE x < n)",
-        f"coded AS (SELECT *, list_reduce(list_prepend(0::BIGINT, list_filter(list_transform(range(0, {PASSES}), lambda i: (s // (1 << i))::BIGINT), lambda t: t > 0 AND t < 32768)), lambda r, t: CASE WHEN r = 0 THEN CASE WHEN abs(v) >= t THEN t + t // 2 - t // 8 ELSE 0 END ELSE {known} + CASE WHEN abs(v) >= {known} THEN t // 2 ELSE t // 2 - t END END) AS size FROM aim)",
+        f"coded AS (SELECT *, list_reduce(list_prepend(0::BIGINT, list_filter(list_transform(range(0, {passes}), lambda i: (s // (1 << i))::BIGINT), lambda t: t > 0 AND t < 32768)), lambda r, t: CASE WHEN r = 0 THEN CASE WHEN abs(v) >= t THEN t + t // 2 - t // 8 ELSE 0 END ELSE {known} + CASE WHEN abs(v) >= {known} THEN t // 2 ELSE t // 2 - t END END) AS size FROM aim)",
         "w32 AS (SELECT k, p, x, n, half, CASE WHEN v < 0 THEN -size ELSE size END AS v FROM coded)",
     ]
     over = "OVER (PARTITION BY k, p ORDER BY x)"
@@ -203,6 +203,24 @@ def layer_gray(spark, sf_dir):
     return emit("gray").withColumnRenamed("value", "plane").join(emit("rgb").withColumnRenamed("value", "shown"), ["p_size", "x"])
 
 
+@query(f"WITH {samples_sql(WIDE, planes=1, passes=PASSES // 2)} SELECT k AS p_size, x::BIGINT AS x, (v + 128)::BIGINT AS value, 1::BIGINT AS chunks FROM sample")
+def layer_first_chunk(spark, sf_dir):
+    """A layer as its first chunk alone gives it, with half of the passes."""
+
+    def make(p_size):
+        return str(p_size), X.single(X.info(100, 100), *[X.chunk("BG44", c) for c in layer(p_size, 40 + p_size % 17, 5, planes=1)])
+
+    units = tables.page_units(X.pack(sizes(spark, sf_dir), make))
+
+    def emit(path, width, height, format, data):
+        for x, v in enumerate(pixels(width, height, format, data)[0].tolist()):
+            yield path, x, v
+
+    values = tables.rows(tables.layer_images(units, plane="gray", most_chunks=1), "path string, x long, value long", emit)
+    read = tables.layers(units, most_chunks=1).select("path", F.col("chunks").cast("long").alias("chunks"))
+    return values.join(read, "path").select(F.col("path").cast("int").alias("p_size"), "x", "value", "chunks")
+
+
 def _scaled(numerator: int, denominator: int, source: str, width: str, extent: str) -> str:
     """CTE `scaled` (k, x, r, g, b): `source` (k, x, r, g, b) of extent pixels scaled across, in sixteenths."""
     place = f"least(({16 * denominator} + {numerator}) // {2 * numerator} - 8 + ({numerator // 2} + {16 * denominator} * x) // {numerator}, (e - 1) * 16)"
@@ -430,3 +448,63 @@ def shape_boxes(spark, sf_dir):
 
     own = tables.jb2_shapes(tables.page_units(record_files(spark, sf_dir)))
     return tables.rows(own, "p_size int, shape_no long, x0 long, y0 long, x1 long, y1 long, ink long", emit)
+
+
+@query("""
+WITH m AS (SELECT DISTINCT p_size, p_partkey % 40 AS x, 29 - p_partkey // 40 % 30 AS y FROM part)
+SELECT p_size, (CASE p_size % 4 WHEN 0 THEN x WHEN 1 THEN y WHEN 2 THEN 39 - x ELSE 29 - y END)::BIGINT AS x, (CASE p_size % 4 WHEN 0 THEN y WHEN 1 THEN 39 - x WHEN 2 THEN 29 - y ELSE x END)::BIGINT AS y FROM m""")
+def all_rotations(spark, sf_dir):
+    """Ink of pages in each of the four turns, from the top left of the turned page."""
+    parts = table(spark, sf_dir, "part").groupBy("p_size").agg(F.array_sort(F.collect_list("p_partkey")).alias("parts"))
+
+    def make(p_size, parts):
+        mask = jb2.encode(40, 30, [(np.ones((1, 1), np.uint8), p % 40, p // 40 % 30) for p in parts])
+        return str(p_size), X.single(X.info(40, 30, flags=(1, 6, 2, 5)[p_size % 4]), X.chunk("Sjbz", mask))
+
+    def ink(path, width, height, format, data):
+        for y, x in zip(*np.nonzero(pixels(width, height, format, data) == 0), strict=True):
+            yield int(path), int(x), int(y)
+
+    return tables.rows(tables.renders(tables.page_units(X.pack(parts, make))), "p_size int, x long, y long", ink)
+
+
+def rule_stream(kind: int) -> tuple[bytes, bytes | None]:
+    """A page's stream and its dictionary, each kind breaking another rule of the format, and 0 none."""
+    dot = np.ones((2, 2), np.uint8)
+    two = jb2.encode(0, 0, [(dot, 0, 0), (np.ones((3, 1), np.uint8), 0, 0)])
+    c = jb2.Codec(Encoder())
+    if kind == 0:
+        return jb2.encode(20, 20, [(dot, 1, 1)], jb2.decode(two, is_image=False)), two
+    if kind == 1:  # no size
+        c.number(jb2.START, jb2.END, "record", jb2.START)
+        c.number(0, jb2.LARGEST, "image size", 0)
+        c.number(0, jb2.LARGEST, "image size", 0)
+    elif kind == 2:  # a dictionary of other length
+        return jb2.encode(20, 20, [(dot, 1, 1)], jb2.decode(jb2.encode(0, 0, [(dot, 0, 0)]), is_image=False)), two
+    elif kind == 3:  # inherits, but there is no dictionary
+        return jb2.encode(20, 20, [(dot, 1, 1)], jb2.decode(two, is_image=False)), None
+    elif kind == 4:  # a shape too wide
+        c.number(jb2.START, jb2.END, "record", jb2.START)
+        c.start(True, (20, 20))
+        c.number(jb2.START, jb2.END, "record", jb2.MARK)
+        c.number(0, jb2.LARGEST, "width", 70000)
+        c.number(0, jb2.LARGEST, "height", 1)
+    else:  # ends before it starts
+        c.number(jb2.START, jb2.END, "record", jb2.END)
+    return c.coder.finish(), None
+
+
+@query("SELECT o_orderkey, o_orderkey % 6 = 0 AS rendered, CASE o_orderkey % 6 WHEN 0 THEN 4::BIGINT END AS ink FROM orders")
+def stream_rules(spark, sf_dir):
+    """Streams that break a rule on sizes, dictionaries or order give an error row, and no job fails."""
+    streams = [rule_stream(k) for k in range(6)]
+
+    def make(o_orderkey):
+        own, base = streams[o_orderkey % 6]
+        return str(o_orderkey), X.single(X.info(20, 20), *([X.chunk("Djbz", base)] if base else []), X.chunk("Sjbz", own))
+
+    def emit(path, data, error):
+        yield int(path), error is None, int((np.frombuffer(data, np.uint8) == 0).sum()) if data is not None else None
+
+    images = tables.renders(tables.page_units(X.pack(table(spark, sf_dir, "orders").select("o_orderkey"), make)))
+    return tables.rows(images, "o_orderkey long, rendered boolean, ink long", emit)

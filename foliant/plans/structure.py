@@ -405,3 +405,13 @@ def exact_renders(spark, sf_dir):
     units = tables.page_units(X.pack(table(spark, sf_dir, "part").select("p_partkey"), make))
     exact = tables.renders(units, 2, exact=True).select("path", "error")
     return tables.renders(units, 2).drop("error").join(exact, "path").select(key("p_partkey"), *long("width", "height"), "format", "error")
+
+
+@query("SELECT least(25, count(*))::BIGINT AS n, least(25, count(*))::BIGINT AS known, true AS again, count(*) <= 25 AS everything FROM (SELECT DISTINCT url FROM pages)")
+def sample_of_files(spark, sf_dir):
+    """A sample of the files: as many as asked for, each once, the same again for the same seed, others for another."""
+    paths = table(spark, sf_dir, "pages").select(F.col("url").alias("path")).distinct()
+    drawn = [R.sample_files(paths, 25, seed).select("path", F.lit(k).alias("k")) for k, seed in enumerate((1, 1, 2))]
+    known = drawn[0].join(paths, "path", "left_semi").select("path", F.lit(3).alias("k"))
+    sets = drawn[0].union(drawn[1]).union(drawn[2]).union(known).agg(*[F.array_sort(F.collect_list(F.when(F.col("k") == k, F.col("path")))).alias(name) for k, name in enumerate(("one", "two", "other", "known"))])
+    return sets.select(F.size("one").cast("long").alias("n"), F.size("known").cast("long").alias("known"), (F.col("one") == F.col("two")).alias("again"), (F.col("one") == F.col("other")).alias("everything"))
