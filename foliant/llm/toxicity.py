@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .langid import HELD, fold
-from .shared import batch, lean
+from .shared import batch, cut, discard, lean
 
 #: Labelled rows that training may read, in expectation, and lexicon voters kept (documented bounds).
 TRAIN_ROWS = 40_000
@@ -168,7 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     share = min(1.0, rows / max(n, 1))
     # at most about TRAIN_ROWS pairs of numbers, so this side's size is bounded by the parameter
     chosen = F.broadcast(known.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20))))
-    sample = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(chosen, "doc_id").select("doc_id", "text", "gold").distinct().select("text", "gold")
+    # one pass over the corpus; rows that are one document count once, however often it is repeated
+    sample = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(chosen, "doc_id").select("doc_id", "text", "gold").distinct().select("text", "gold"))
     counts = pa.schema([("bucket", pa.int32()), ("pos", pa.int64()), ("neg", pa.int64())])
 
     def count(batches):
@@ -195,6 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     learned = [r.bucket for r in best.select("bucket").collect()] if 0 < size.pos < size.n else []
     lexicon = np.array(list(dict.fromkeys([*map(word_bucket, SEED), *learned])), np.int64)
     if not learned:
+        discard(sample)
         return Model(lexicon, np.append(np.full(len(lexicon), 3.0), np.zeros(len(PATTERNS))), float(np.log(PRIOR / (1 - PRIOR))), np.zeros((0, 2)), np.zeros(0))
     table = sample.sparkSession.sparkContext.broadcast(lexicon)
     seen = pa.schema([("votes", pa.binary()), ("gold", pa.int32())])
@@ -208,6 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 yield batch(seen, [x.tobytes() for x in v], gold[i:j].astype(np.int32))
 
     got = sample.mapInArrow(lean(vote), "votes binary, gold int").toPandas()  # some 45 bytes for each of the bounded sample's rows
+    discard(sample)
     width = len(lexicon) + len(PATTERNS)
     v = np.unpackbits(np.frombuffer(b"".join(map(bytes, got.votes)), np.uint8).reshape(len(got), -1), axis=1)[:, :width].astype(bool)
     order = np.lexsort([*np.packbits(v, axis=1).T, got.gold.to_numpy()])  # results don't depend on the order of rows
