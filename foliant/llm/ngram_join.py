@@ -5,10 +5,12 @@ similarity reaches SIMILARITY; the result is each document's connected component
 
 1. Shingles are counted over the whole corpus (a fixed share of them, chosen by hash; per-task
    sums first); a table of fixed size keeps how frequent the most frequent one of each slot is.
-2. Each set's rarest shingles by that table are its prefix, just long enough that linked sets
-   must share one. Prefix shingles in no other set (certain ones are left out at once) drop out in a shuffle,
-   so a full table makes prefixes longer lived, but settles nothing wrongly and lets no set through
-   that shares none. Sets equal to each other are one from here on.
+2. Each set's rarest shingles by that table are its prefix. It is SPARE of the set longer than linked
+   sets need in order to share one, so they share q, a twentieth of the smaller one. One shuffle
+   brings equal prefix shingles together; those of one set drop out (certain ones are left out at
+   once), and with them sets that are left with fewer than q. Of the others the q - 1 most frequent are spared, now
+   by exact counts. So the table only orders: when it is full, as in a large corpus, more unique shingles travel,
+   and hardly more sets stay. Sets equal to each other are one from here on.
 3. All who share a prefix shingle meet in the cell of the least of them; only those sets are made
    of their texts again. A cell beyond CELL bytes is compared with its pivot first, in blocks: the
    set with most copies and most of its prefix shared, as the original of near copies. Those that link
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import LAST_ID, batch, components, cut, discard, join_keyed, lean, level_of, level_sketch, packed_rows
+from .shared import LAST_ID, batch, components, cut, discard, lean, level_of, level_sketch, packed_rows
 
 WORDS = 4
 SIMILARITY = (85, 100)
@@ -47,6 +49,8 @@ COUNTED = 80
 MU = 0.085
 #: Bytes of shingle hashes that a cell may hold before it is dealt out.
 CELL = 2 << 20
+#: A set's prefix is longer than needed by its size over this.
+SPARE = 20
 #: Level (of the table) up to which a shingle's sets, some thousand at most, may meet in one task.
 COMMON = 60
 
@@ -81,16 +85,21 @@ def least_overlap(size: np.ndarray | int, similarity: tuple[int, int]):
     return -(-size * similarity[0] // similarity[1])
 
 
+def least_shared(size: np.ndarray | int, similarity: tuple[int, int]):
+    """Prefix shingles that a set must share with any set it links with: what the smallest such set has to spare, and one."""
+    return least_overlap(size, similarity) // SPARE + 1
+
+
 def prefix_tokens(g: np.ndarray, levels: np.ndarray, similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The shared ones of a set's rarest shingles, in an order that is the same for all sets: counted before others, then by level, then by hash. Those of few sets, and those that may be of many."""
-    need = len(g) - int(least_overlap(len(g), similarity)) + 1
+    """A set's prefix, but for shingles that are certain to be unique, in an order that is the same for all sets: counted before others, then by level, then by hash. Those of few sets, and those that may be of many."""
+    take = len(g) - int(least_overlap(len(g), similarity)) + 1 + len(g) // SPARE
     of = counted(g)
     own = g[of]
     level = level_of(levels, own)
-    order = np.lexsort((own, level))[:need]
+    order = np.lexsort((own, level))[:take]
     chosen, level = own[order], level[order]
     few = (level > 0) & (level <= COMMON)
-    return chosen[few], np.concatenate([chosen[level > COMMON], g[~of][: need - min(need, len(own))]])
+    return chosen[few], np.concatenate([chosen[level > COMMON], g[~of][: take - min(take, len(own))]])
 
 
 class Cell:
@@ -170,6 +179,11 @@ class Cell:
                 root[: x + 1] = [self.find(i) for i in range(x + 1)]
 
 
+def joined(big: DataFrame, other: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join by a shuffle of both sides: they grow with the corpus, and so the plan is the same at every size."""
+    return big.join(other.hint("merge"), on, how)
+
+
 def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     known = lambda c: F.when(c != LAST_ID, c)
@@ -181,8 +195,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     """The rows, all their columns, of the least id of each component; of rows equal in id and text, one."""
     every = cut(grouped(docs, doc_id, text, words, similarity).select("id", "th", "group"))
     several = cut(every.where("group is not null").groupBy("group").agg(F.min(F.struct("id", "th")).alias("first"), F.max(F.struct("id", "th")).alias("last")).where("first <> last").select("group", "first"))
-    gone = cut(join_keyed(every, several, ["group"], "inner").where("struct(id, th) <> first").select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct())
-    kept = join_keyed(packed_rows(docs, doc_id, text), gone, ["_id", "_th"], "left_anti")
+    gone = cut(joined(every, several, ["group"], "inner").where("struct(id, th) <> first").select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct())
+    kept = joined(packed_rows(docs, doc_id, text), gone, ["_id", "_th"], "left_anti")
     if not every.groupBy("id", "th").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["_id", "_th"])
     discard(every, several)
@@ -216,45 +230,65 @@ def grouped(docs: DataFrame, doc_id: str, text: str, words: int, similarity: tup
             yield from out()
 
     levels = spark.sparkContext.broadcast(level_sketch(source.select("text").mapInArrow(lean(count), "key long, n long")))
-    sets = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("few", pa.binary()), ("many", pa.binary())])
+    sets = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("many", pa.binary())])
+    tokens = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("q", pa.int32())])
+
+    def contents(g: np.ndarray, at: np.ndarray, salt: int) -> np.ndarray:
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(K.mix(g ^ np.uint64(salt)))])
+        return K.signed(K.mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64)))
 
     def describe(batches):
         for b in batches:
             for i, j, data, offsets in K.chunks(b.column("text")):
                 g, at = shingles(data, offsets, words)
                 n = np.diff(at)
-                s1, s2 = (np.concatenate([[np.uint64(0)], np.cumsum(K.mix(g ^ np.uint64(x)))]) for x in (3, 0xABCDEF))
-                c1, c2 = (K.signed(K.mix(s[at[1:]] - s[at[:-1]] + n.astype(np.uint64))) for s in (s1, s2))
-                own = [prefix_tokens(g[x:y], levels.value, similarity) if y > x else (g[:0], g[:0]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                few, many = ([x[k].tobytes() if len(x[k]) else None for x in own] for k in (0, 1))
-                yield batch(sets, b.column("id").slice(i, j - i), b.column("th").slice(i, j - i), n, pa.array(c1, mask=n == 0), pa.array(c2, mask=n == 0), few, many)
+                many = [prefix_tokens(g[x:y], levels.value, similarity)[1] if y > x else g[:0] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                c1, c2 = (contents(g, at, salt) for salt in (3, 0xABCDEF))
+                yield batch(sets, b.column("id").slice(i, j - i), b.column("th").slice(i, j - i), n, pa.array(c1, mask=n == 0), pa.array(c2, mask=n == 0), [x.tobytes() if len(x) else None for x in many])
 
-    every = cut(source.mapInArrow(lean(describe), "id long, th long, n long, c1 long, c2 long, few binary, many binary"), wide=True)
+    every = cut(source.mapInArrow(lean(describe), "id long, th long, n long, c1 long, c2 long, many binary"), wide=True)
     least = (F.min("id").alias("id"), F.min_by("th", "id").alias("th"))
-    reps = cut(every.where("n > 0").groupBy("c1", "c2").agg(*least, F.count("*").alias("k"), F.first("n").alias("n"), F.first("few").alias("few"), F.first("many").alias("many")).select("id", "th", "c1", "c2", "k", "n", "few", "many", F.xxhash64("id", "c1").alias("node")))
-    tokens = pa.schema([("token", pa.int64()), ("node", pa.int64())])
-
-    def listed(kind: str) -> DataFrame:
-        def run(batches):
-            for b in batches:
-                own = [np.frombuffer(x.as_py(), np.int64) for x in b.column("own")]
-                yield batch(tokens, np.concatenate(own), np.repeat(b.column("node").to_numpy(), [len(x) for x in own]))
+    reps = cut(every.where("n > 0").groupBy("c1", "c2").agg(*least, F.count("*").alias("k"), F.first("n").alias("n"), F.first("many").alias("many")).select("id", "th", "c1", "c2", "k", "n", "many", F.col("c1").alias("node")))
 
-        return reps.where(F.col(kind).isNotNull()).select(F.col(kind).alias("own"), "node").mapInArrow(lean(run), "token long, node long")
+    def few_of(batches):
+        for b in batches:
+            seen: set[int] = set()  # equal sets of a batch are sent once
+            for _, _, data, offsets in K.chunks(b.column("text")):
+                g, at = shingles(data, offsets, words)
+                own, nodes, shared_ = [g[:0]], [], []
+                for x, y, c in zip(at[:-1].tolist(), at[1:].tolist(), contents(g, at, 3).tolist(), strict=True):
+                    if y > x and c not in seen:
+                        seen.add(c)
+                        own.append(prefix_tokens(g[x:y], levels.value, similarity)[0])
+                        nodes.append(c)
+                        shared_.append(int(least_shared(y - x, similarity)))
+                size = [len(x) for x in own[1:]]
+                yield batch(tokens, K.signed(np.concatenate(own)), np.repeat(np.array(nodes, np.int64), size), np.repeat(np.array(shared_, np.int32), size))
+
+    def many_of(batches):
+        for b in batches:
+            own = [np.frombuffer(x.as_py(), np.int64) for x in b.column("many")]
+            size = [len(x) for x in own]
+            yield batch(tokens, np.concatenate(own), np.repeat(b.column("node").to_numpy(), size), np.repeat(least_shared(b.column("n").to_numpy(), similarity).astype(np.int32), size))
 
     # who shares a token has the least of its nodes for head. Few share one that is not common: they meet in one shuffle; others by an aggregate and a join
+    few = source.select("text").mapInArrow(lean(few_of), "token long, node long, q int").repartition("token").groupBy("token", "node").agg(F.min("q").alias("q"))
     each = Window.partitionBy("token")
-    near = listed("few").withColumn("head", F.min("node").over(each)).withColumn("k", F.count("*").over(each)).where("k > 1").select("head", "node")
-    heads = cut(listed("many").groupBy("token").agg(F.min("node").alias("head"), F.count("*").alias("k")).where("k > 1").select("token", "head"))
-    members = cut(near.union(join_keyed(listed("many"), heads, ["token"], "inner").select("head", "node")).distinct())
+    near = few.withColumn("head", F.min("node").over(each)).withColumn("k", F.count("*").over(each)).where("k > 1").select("token", "node", "q", "head", "k")
+    many = reps.where("many is not null").select("many", "node", "n").mapInArrow(lean(many_of), "token long, node long, q int")
+    heads = cut(many.groupBy("token").agg(F.min("node").alias("head"), F.count("*").alias("k")).where("k > 1"))
+    shared = near.union(joined(many, heads, ["token"], "inner").select("token", "node", "q", "head", "k"))
+    own = Window.partitionBy("node")
+    ranked = shared.withColumn("all", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("k", "token")))
+    members = cut(ranked.where("all >= q and rank <= all - q + 1").groupBy("head", "node").agg(F.max("all").alias("all")), wide=True)
     # how many copies a set has, and how much of its prefix others share: the set that the others are copies of has most
-    typical = (F.col("k") * 16 + (F.coalesce(F.octet_length("few"), F.lit(0)) + F.coalesce(F.octet_length("many"), F.lit(0))) / F.col("n")).cast("double").alias("typical")
-    sized = cut(members.join(reps.select("node", (F.col("n") * 8).alias("bytes"), typical), "node"))
+    typical = (F.col("k") + F.col("all") / F.col("n")).alias("typical")
+    sized = cut(members.join(reps.select("node", "n", "k"), "node").select("head", "node", (F.col("n") * 8).alias("bytes"), typical))
     cells = cut(sized.groupBy("head").agg(F.ceil(F.sum("bytes") / CELL).cast("int").alias("blocks"), F.max_by("node", "typical").alias("pivot"), F.count("*").alias("k")).where("k > 1").select("head", "blocks", "pivot"))
-    placed = cut(join_keyed(sized.drop("typical"), cells, ["head"], "inner"))
+    placed = cut(joined(sized.drop("typical"), cells, ["head"], "inner"))
     discard(heads, members, sized)
     met = cut(placed.select("node").distinct())
-    chosen = cut(join_keyed(reps.select("id", "th", "node"), met, ["node"], "left_semi"))
+    chosen = cut(joined(reps.select("id", "th", "node"), met, ["node"], "left_semi"))
     grams = pa.schema([("node", pa.int64()), ("grams", pa.binary())])
 
     def again(batches):
@@ -263,7 +297,7 @@ def grouped(docs: DataFrame, doc_id: str, text: str, words: int, similarity: tup
                 g, at = shingles(data, offsets, words)
                 yield batch(grams, b.column("node").slice(i, j - i), [g[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
 
-    texts = join_keyed(source, chosen, ["id", "th"], "inner").groupBy("id", "th").agg(F.first("node").alias("node"), F.first("text").alias("text"))
+    texts = joined(source, chosen, ["id", "th"], "inner").groupBy("id", "th").agg(F.first("node").alias("node"), F.first("text").alias("text"))
     own_sets = cut(texts.select("node", "text").mapInArrow(lean(again), "node long, grams binary"), wide=True)
     discard(met, chosen)
 
@@ -320,8 +354,8 @@ def grouped(docs: DataFrame, doc_id: str, text: str, words: int, similarity: tup
         rest = cut(large.where("not starred"))
         parts = cut(rest.groupBy("head").agg(F.ceil(F.sum("bytes") / CELL).cast("int").alias("parts")))
         pair = F.xxhash64("head", F.lit(2), "i", "j").alias("cell")
-        left = join_keyed(rest, parts, ["head"], "inner").withColumn("i", F.expr("cast(pmod(xxhash64(node, 1), parts) as int)")).withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)")))
-        right = join_keyed(large, parts, ["head"], "inner").withColumn("i", F.explode(F.expr("sequence(0, parts - 1)")))
+        left = joined(rest, parts, ["head"], "inner").withColumn("i", F.expr("cast(pmod(xxhash64(node, 1), parts) as int)")).withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)")))
+        right = joined(large, parts, ["head"], "inner").withColumn("i", F.explode(F.expr("sequence(0, parts - 1)")))
         both = left.select(pair, yes, none, "node").union(right.select(pair, yes, F.expr("if(starred, 2, 1)"), "node"))
         links = links.union(star).union(dealt(both).mapInArrow(by_cell(search), "a long, b long"))
         tables = [star, rest, parts, large]
@@ -331,4 +365,4 @@ def grouped(docs: DataFrame, doc_id: str, text: str, words: int, similarity: tup
     group = found.join(linked.groupBy("component").agg(F.min("id").alias("least")), "component")
     classes = cut(reps.select("c1", "c2", "k", "id", "node").join(group, "node", "left").where("k > 1 or component is not null").select("c1", "c2", F.coalesce("component", "node").alias("group"), F.coalesce("least", "id").alias("least")))
     discard(found, reps)
-    return join_keyed(every.select("id", "th", "n", "c1", "c2"), classes, ["c1", "c2"], "left").select("id", "th", "n", "group", "least")
+    return joined(every.select("id", "th", "n", "c1", "c2"), classes, ["c1", "c2"], "left").select("id", "th", "n", "group", "least")
