@@ -51,8 +51,8 @@ MU = 0.085
 CELL = 2 << 20
 #: A set's prefix is longer than needed by its size over this.
 SPARE = 20
-#: Level (of the table) up to which a shingle's sets, some thousand at most, may meet in one task.
-COMMON = 60
+#: Level (of the table) up to which a shingle's sets, some 70,000 rows of three numbers at most, may meet in one task.
+COMMON = 96
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
