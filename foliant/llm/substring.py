@@ -131,7 +131,7 @@ def factor(block: Block, text: np.ndarray, sums: K.Prefix, starts: np.ndarray, e
 def phrases(source: DataFrame, window: int, anchor: int) -> DataFrame:
     """id, th, phrase: struct(s0, n, ref, ref_s0) for all windows that occur more than once."""
     long_anchor = window * LONG_ANCHOR // WINDOW
-    settled = cut(settle(source, cutter(source, word_symbols, window, (anchor, long_anchor)), all_go=True))
+    settled = cut(settle(source, cutter(source, word_symbols, window, (anchor, long_anchor)), all_go=True), wide=True)
 
     def bounds(data, offsets, row, s0, n):
         starts, ends, at = K.words(data, offsets)
