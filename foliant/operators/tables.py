@@ -25,6 +25,7 @@ from pyspark.sql.types import StructType
 
 from foliant import schemas as S
 from foliant.functions import iw44, jb2, raster, text
+from foliant.functions.streams import decompress_all
 from foliant.sources import container as C
 
 #: Rows to a batch that leaves a decoder; small, as rows may hold images.
@@ -492,6 +493,6 @@ def register_functions(spark: SparkSession) -> None:
 def unpack_stream(streams: DataFrame, column: str = "payload") -> DataFrame:
     """All columns, and `raw`: the block-sorted stream of a column decompressed, null if corrupt."""
     def raw(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else C.decompress(bytes(v)))
+        return pd.Series(decompress_all(x.tolist()), x.index, object)
 
     return streams.withColumn("raw", F.pandas_udf(raw, "binary")(F.col(column)))

@@ -166,7 +166,7 @@ def chunk_payloads(spark, sf_dir):
 @query("SELECT doc_id, text FROM documents")
 def text_streams(spark, sf_dir):
     """Whole documents through the block-sorting compressor and back."""
-    packed = X.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), lambda doc_id, text: (str(doc_id), compress(text.encode())))
+    packed = X.pack_streams(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return tables.unpack_stream(packed, "content").select(key("doc_id"), F.decode("raw", "UTF-8").alias("text"))
 
 
