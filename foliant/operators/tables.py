@@ -25,6 +25,7 @@ from pyspark.sql.types import StructType
 
 from foliant import schemas as S
 from foliant.functions import iw44, jb2, raster, text
+from foliant.functions.coder import blockless
 from foliant.functions.streams import decompress_all
 from foliant.sources import container as C
 
@@ -490,9 +491,13 @@ def register_functions(spark: SparkSession) -> None:
         spark.udtf.register(name, table_function(make, schema))
 
 
-def unpack_stream(streams: DataFrame, column: str = "payload") -> DataFrame:
-    """All columns, and `raw`: the block-sorted stream of a column decompressed, null if corrupt."""
+def unpack_stream(streams: DataFrame, column: str = "payload", empty: bytes | None = None) -> DataFrame:
+    """All columns, and `raw`: the block-sorted stream of a column decompressed, null if corrupt; `empty` stands for a stream that ends before its first block."""
     def raw(x: pd.Series) -> pd.Series:
-        return pd.Series(decompress_all(x.tolist()), x.index, object)
+        held = x.tolist()
+        out = decompress_all(held)
+        if empty is not None:
+            out = [empty if y is None and data is not None and blockless(data) else y for data, y in zip(held, out, strict=True)]
+        return pd.Series(out, x.index, object)
 
     return streams.withColumn("raw", F.pandas_udf(raw, "binary")(F.col(column)))

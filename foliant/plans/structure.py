@@ -165,9 +165,9 @@ def chunk_payloads(spark, sf_dir):
 
 @query("SELECT doc_id, text FROM documents")
 def text_streams(spark, sf_dir):
-    """Whole documents through the block-sorting compressor and back."""
+    """Whole documents through the block-sorting compressor and back; empty texts stay empty, null stays null."""
     packed = X.pack_streams(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return tables.unpack_stream(packed, "content").select(key("doc_id"), F.decode("raw", "UTF-8").alias("text"))
+    return tables.unpack_stream(packed, "content", empty=b"").select(key("doc_id"), F.decode("raw", "UTF-8").alias("text"))
 
 
 @query("""SELECT p_partkey, md5(encode('P5' || chr(10) || (p_size + 2) // 2 || ' ' || (p_partkey % 30 + 2) // 2 || chr(10) || '255' || chr(10)) || unhex(repeat('FF', ((p_size + 2) // 2 * ((p_partkey % 30 + 2) // 2))::INTEGER))) AS digest FROM part""")

@@ -4,11 +4,14 @@ import random
 import time
 import tracemalloc
 
+import duckdb
 import pytest
+from compare import differences
 
 from foliant.functions import streams
 from foliant.functions.coder import compress, decompress
 from foliant.operators import tables
+from foliant.plans.catalog import ORACLE_SQL, QUERIES
 
 
 def texts(n: int, most: int = 900) -> list[bytes]:
@@ -58,3 +61,21 @@ def test_unpacking_many_streams_takes_less_than_one_by_one(spark, monkeypatch):
     assert time.process_time() - began < 0.7 * plain
     frame = spark.createDataFrame(list(enumerate(map(bytearray, packed))), "i int, payload binary")
     assert [r.raw and bytes(r.raw) for r in tables.unpack_stream(frame).orderBy("i").collect()] == expected
+
+
+def test_documents_without_text_or_id(spark, tmp_path):
+    """The query text_streams against its SQL: empty texts come back empty, null as null, whatever lies between them."""
+    rows = [(0, ""), (1, None), (2, "a"), (None, "no id"), (None, None), (3, "é\0 " * 50), (4, ""), (5, "x" * 70_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert differences(spark, con, QUERIES["text_streams"], ORACLE_SQL["text_streams"], str(tmp_path)) is None
+
+
+def test_empty_and_corrupt_streams_differ(spark):
+    """Both are null by default; `empty` is for streams that end before a block."""
+    packed = streams.compress_all([b"", b"text of some length" * 9])
+    frame = spark.createDataFrame([(0, bytearray(packed[0])), (1, bytearray(packed[1])), (2, bytearray(packed[1][:9])), (3, bytearray(b"\0\0\0")), (4, bytearray()), (5, None)], "i int, payload binary")
+    found = [r.raw if r.raw is None else bytes(r.raw) for r in tables.unpack_stream(frame, empty=b"").orderBy("i").collect()]
+    assert found == [b"", b"text of some length" * 9, decompress(packed[1][:9]), decompress(b"\0\0\0"), None, None]
+    assert [r.raw for r in tables.unpack_stream(frame.where("i = 0")).collect()] == [None]
